@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from graniteflow.llm.packing import op3_pack
 from graniteflow.llm.sharding import op4_shard
 
-QUERIES = {"op4_shard": op4_shard}
+QUERIES = {"op3_pack": op3_pack, "op4_shard": op4_shard}
 ORACLES: dict = {}
