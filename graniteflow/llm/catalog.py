@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from graniteflow.llm.fingerprints import op1_fingerprint
 from graniteflow.llm.packing import op3_pack
 from graniteflow.llm.sharding import op4_shard
 
-QUERIES = {"op3_pack": op3_pack, "op4_shard": op4_shard}
+QUERIES = {"op1_fingerprint": op1_fingerprint, "op3_pack": op3_pack, "op4_shard": op4_shard}
 ORACLES: dict = {}
