@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, range int, fingerprint string"
 
 
 def leaves(text):
-    return re.findall(r"[^.!?\n]{1,32}[.!?\n]*|[.!?\n]+", text)
+    return [x for line in re.split(r"(?<=\n)", text) for x in re.findall(r"[^.!?\n]{1,32}[.!?\n]*|[.!?\n]+", line)]
 
 
 def near(a, b):
