@@ -86,3 +86,13 @@ def test_encoder_matches_the_library():
     tok, enc = Tokenizer.from_file(default_path()), encoder(default_path())
     for text in ("", "Hello  world's\tend", "a\x85b c　d", "<|startoftext|>x <|endoftext|>", "ΑΣ Σας", "́a é ́", "x" * 500):
         assert np.frombuffer(enc(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_fast_way_agrees_with_the_library():
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÉéèüßñ'’0123456789.,!?-_|&%$#*@()<>/\"“”…€—«»¿¡~^`+=;:[]{}\\²½漢"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 12))) for _ in range(400)) for _ in range(40)]
+    texts += [" ".join("".join(rng.choices("etaoinshrdlué", k=rng.randint(1, 14))) for _ in range(400)) for _ in range(40)]
+    enc = encoder(default_path())
+    for text in texts:
+        assert np.frombuffer(enc(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
