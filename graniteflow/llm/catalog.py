@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from graniteflow.llm.fingerprints import op1_fingerprint
 from graniteflow.llm.html import op9_html
+from graniteflow.llm.langid import op8_langid
 from graniteflow.llm.media import op10_media
 from graniteflow.llm.packing import op3_pack
 from graniteflow.llm.sharding import op4_shard
 from graniteflow.llm.warc import op6_warc
 
-QUERIES = {"op1_fingerprint": op1_fingerprint, "op3_pack": op3_pack, "op4_shard": op4_shard, "op6_warc": op6_warc, "op9_html": op9_html, "op10_media": op10_media}
+QUERIES = {"op1_fingerprint": op1_fingerprint, "op3_pack": op3_pack, "op4_shard": op4_shard, "op6_warc": op6_warc, "op8_langid": op8_langid, "op9_html": op9_html, "op10_media": op10_media}
 ORACLES: dict = {}

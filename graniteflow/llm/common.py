@@ -60,6 +60,7 @@ def _clean() -> None:
             return
 
 
-def held_out(doc_id: Column) -> Column:
+def held_out(doc_id: Column | str) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, modulo 4, is 2."""
-    return F.coalesce(F.crc32(F.col(doc_id) if isinstance(doc_id, str) else doc_id.cast("string")), F.lit(0)) % 4 == 2
+    at = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(F.crc32(at.cast("string").cast("binary")), F.lit(0)) % 4 == 2
