@@ -11,7 +11,6 @@ windows in the tasks, with the model in the closure (some tens of kilobytes).
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,6 @@ from graniteflow.llm.common import held_out
 
 WINDOW, WIDTHS, FILTERS, SIZE = 256, (3, 5), 12, 6
 SPAN = max(WIDTHS)
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -172,7 +170,7 @@ def identify_texts(model: Network, texts: list[str | None], most: int = 4096) ->
 
     count = 0
     for i, text in enumerate(texts):
-        if text and LETTER.search(text):
+        if text and any(map(str.isalpha, text)):
             data = text.encode()
             w = windows_of(data)
             n = np.full(len(w), WINDOW, float)
