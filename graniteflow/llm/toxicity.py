@@ -282,7 +282,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int = 700) -> tuple
     counts = {r["_toxic"]: r["count"] for r in labels.groupBy("_toxic").count().collect()}  # two rows
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     chance = F.when(F.col("_toxic") == 1, most / max(1, counts.get(1, 0))).otherwise(most / max(1, counts.get(0, 0)))
-    rows = docs.select("doc_id", "text").join(labels.where(draw < chance), "doc_id").where("text IS NOT NULL").toPandas()
+    drawn = labels.where(draw < chance).select("doc_id", "_toxic").collect()  # about twice ``most`` rows at most
+    if not drawn:
+        return [], np.zeros(0)
+    sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, _toxic int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").toPandas()
     rows = rows.sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["_toxic"].to_numpy(float)
 
