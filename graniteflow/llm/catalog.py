@@ -8,9 +8,21 @@ from graniteflow.llm.langid import op8_langid
 from graniteflow.llm.media import op10_media
 from graniteflow.llm.neardup import op7_neardup
 from graniteflow.llm.packing import op3_pack
+from graniteflow.llm.pieces import op5_pieces
 from graniteflow.llm.sharding import op4_shard
 from graniteflow.llm.toxicity import op2_toxicity
 from graniteflow.llm.warc import op6_warc
 
-QUERIES = {"op1_fingerprint": op1_fingerprint, "op2_toxicity": op2_toxicity, "op3_pack": op3_pack, "op4_shard": op4_shard, "op6_warc": op6_warc, "op7_neardup": op7_neardup, "op8_langid": op8_langid, "op9_html": op9_html, "op10_media": op10_media}
+QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
+    "op2_toxicity": op2_toxicity,
+    "op3_pack": op3_pack,
+    "op4_shard": op4_shard,
+    "op5_pieces": op5_pieces,
+    "op6_warc": op6_warc,
+    "op7_neardup": op7_neardup,
+    "op8_langid": op8_langid,
+    "op9_html": op9_html,
+    "op10_media": op10_media,
+}
 ORACLES: dict = {}
