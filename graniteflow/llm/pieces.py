@@ -11,7 +11,8 @@ characters of u + t gives u and t again. That is a first-order condition, so the
 with scores of zero and minus infinity.
 
 Where two characters never stand side by side in any piece, all paths meet between them. The main such
-place is before a word; so words are memoised, and the search runs for words not seen before.
+place is before a word; so words are memoised, words not seen before are cut at the other such places, and
+the search runs for parts not seen before.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The mark of a space, entries of a worker's memos, the longest word that enters one, characters that may part from a word.
-SPACE, MEMO, LONGEST, TAIL = "▁", 400_000, 40, ".,!?;:|"
+#: The mark of a space, entries of a worker's memos, the longest word that enters one.
+SPACE, MEMO, LONGEST = "▁", 400_000, 40
 
 
 def default_path() -> str:
@@ -89,15 +90,20 @@ class PieceModel:
         self.bytes = found if all(own.is_byte(i) for i in found) else None
         self.byte_of = {i: b for b, i in enumerate(found)} if self.bytes else {}
         self.longest = max(map(len, self.ids), default=1)
-        self.trie: dict = {}
-        for piece, i in self.ids.items():
+        self.trie: dict = {}  # letter to (the piece that ends here or None, the letters that go on or None)
+        for piece in sorted(self.ids):
             node = self.trie
-            for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+            for c in piece[:-1]:
+                own_piece, onward = node.get(c, (None, None))
+                if onward is None:
+                    onward = {}
+                    node[c] = (own_piece, onward)
+                node = onward
+            node[piece[-1:]] = (piece, node.get(piece[-1:], (None, None))[1])
         self.beside = {piece[k : k + 2] for piece in self.ids for k in range(len(piece) - 1)}
         self.by_word = not any(b[1] == SPACE and b[0] != SPACE for b in self.beside)
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.known = 0
         self.memo: dict[str, bytes] = {"": b""}
 
     def merged(self, text: str) -> list[str]:
@@ -115,64 +121,78 @@ class PieceModel:
         return parts
 
     def may_follow(self, before: str, piece: str) -> bool:
-        if self.kind == "unigram":
-            return True
-        key = (before, piece)
-        found = self.follows.get(key)
-        if found is None:
-            if len(self.follows) > MEMO:
-                self.follows.clear()
-            found = self.follows[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        """Whether a BPE model keeps the two apart; remembered up to MEMO pairs."""
+        if self.known > MEMO:
+            for row in self.follows.values():
+                row.clear()
+            self.known = 0
+        self.known += 1
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.follows.setdefault(before, {})[piece] = found
         return found
 
     def search(self, text: str) -> Iterator[list[str]]:
-        """Lists of pieces, each as soon as its end is certain."""
-        bpe, trie, size = self.kind == "bpe", self.trie, len(text)
-        state: dict[int, tuple[float, int, str]] = {0: (0.0, 0, "")}  # boundary: score, where its piece begins, the piece
-        open_ends, done = {0}, 0
+        """Lists of pieces, each as soon as its end is certain.
+
+        state: of each boundary from the last committed one on, its score, where its piece begins, the piece.
+        """
+        bpe, trie, size, follows, scores, ids = self.kind == "bpe", self.trie, len(text), self.follows, self.score, self.ids
+        state: dict[int, tuple[float, int, str]] = {0: (0.0, 0, "")}
+        far = done = 0
         for at in range(size):
-            if at not in open_ends:
+            reached = state.get(at)
+            if reached is None:
                 continue
-            open_ends.discard(at)
-            if at > done and (not open_ends or at - done > 2 * self.longest):
-                done = yield from self._commit(state, {at, *open_ends}, done)
-            score, _, before = state[at]
-            node, end, single = trie, at, False
-            while True:
-                node = node.get(text[end]) if end < size else None
-                if node is None:
-                    break
+            if at > done:
+                if at == far:  # no other boundary is open: all paths meet here
+                    pieces, end = [], at
+                    while end > done:
+                        _, end, piece = state[end]
+                        pieces.append(piece)
+                    yield pieces[::-1]
+                    state, done = {at: reached}, at
+                elif at - done > 2 * self.longest:
+                    done = yield from self._commit(state, [k for k in state if k >= at], done)
+            score, _, before = reached
+            allowed = follows.get(before)
+            if allowed is None:
+                allowed = follows[before] = {}
+            node, end = trie, at
+            while node is not None and end < size:
+                piece, node = node.get(text[end], (None, None))
                 end += 1
-                i = node.get("")
-                if i is None:
+                if piece is None:
                     continue
-                single = single or end == at + 1
-                piece = text[at:end]
                 if bpe:
-                    if end not in state and self.may_follow(before, piece):
-                        state[end] = (0.0, at, piece)
-                        open_ends.add(end)
+                    if end not in state:
+                        keeps = allowed.get(piece)
+                        if keeps is None:
+                            keeps = self.may_follow(before, piece)
+                        if keeps:
+                            state[end] = (0.0, at, piece)
+                            if end > far:
+                                far = end
                 else:
-                    total = score + self.score[i]
+                    total = score + scores[ids[piece]]
                     if end not in state or total > state[end][0]:
                         state[end] = (total, at, piece)
-                        open_ends.add(end)
-            if not single:
+                        far = max(far, end)
+            if text[at] not in ids:
                 total = score + self.penalty
                 if at + 1 not in state or (not bpe and total > state[at + 1][0]):
                     state[at + 1] = (total, at, text[at])
-                    open_ends.add(at + 1)
+                    far = max(far, at + 1)
         if size > done:
-            yield from self._commit(state, {size}, done)
+            yield from self._commit(state, [size], done)
 
-    def _commit(self, state: dict, ends: set[int], done: int):
+    def _commit(self, state: dict, ends: list[int], done: int):
         """Commits up to the boundary where the paths to all ends meet; returns it."""
-        ends = set(ends)
-        while len(ends) > 1:
-            last = max(ends)
-            ends.discard(last)
-            ends.add(state[last][1])
-        (meet,) = ends
+        open_ends = set(ends)
+        while len(open_ends) > 1:
+            last = max(open_ends)
+            open_ends.discard(last)
+            open_ends.add(state[last][1])
+        (meet,) = open_ends
         if meet > done:
             pieces, at = [], meet
             while at > done:
@@ -199,18 +219,25 @@ class PieceModel:
         return array("i", [i for pieces in self.search(word) for i in self.ids_of(pieces)]).tobytes()
 
     def _parts(self, word: str) -> bytes:
-        """A word not in the memo: its last mark alone, where no piece joins it to what stands before."""
-        if len(word) > 2 and word[-1] in TAIL and word[-2:] not in self.beside:
-            body, tail = word[:-1], word[-1:]
-            ids = self.memo.get(body)
+        """A word not in the memo: it is cut where no piece joins two letters, and its parts are looked up.
+
+        The whole word enters the memo when its parts had been seen before, so it is likely to come again.
+        """
+        beside, memo, out, begin, seen = self.beside, self.memo, [], 0, True
+        for k in [*[k for k in range(1, len(word)) if word[k - 1 : k + 1] not in beside], len(word)]:
+            part = word[begin:k]
+            ids = memo.get(part)
             if ids is None:
-                ids = self._new(body)
-                if len(body) <= LONGEST:
-                    self.memo[body] = ids
-            if tail not in self.memo:
-                self.memo[tail] = self._new(tail)
-            return ids + self.memo[tail]
-        return self._new(word)
+                seen = False
+                ids = self._new(part)
+                if len(part) <= LONGEST:
+                    memo[part] = ids
+            out.append(ids)
+            begin = k
+        found = b"".join(out)
+        if seen and len(word) <= LONGEST:
+            memo[word] = found
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as signed 32-bit integers of this machine."""
@@ -234,8 +261,6 @@ class PieceModel:
             ids = memo.get(w)
             if ids is None:
                 ids = self._parts(w)
-                if len(w) <= LONGEST:
-                    memo[w] = ids
             out.append(ids)
         return b"".join(out)
 
