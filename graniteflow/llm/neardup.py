@@ -9,11 +9,13 @@ at a coordinate with the probability of their weighted Jaccard similarity.
 Coordinates are banded; texts that share a band are candidates, and a candidate pair is a link when the
 exact Jaccard similarity of their shingles is 0.8 or more. Classes are the connected components of links.
 
-Shape of the job: equal texts are one node. In each bucket every member is paired with its least member
-(pairs grow with members, not their square) and the links' components are drawn up. Where a bucket's
-members then still lie in several components, all its members are compared by signature, in blocks of
-bounded size within tasks, and the pairs that may reach the threshold are verified as well. So no link
-is lost but by the bands (a pair at 0.8 shares no band with a probability of 3 in a million).
+Shape of the job: equal texts are one node. In each bucket every member is paired with one of its members,
+that which shares most buckets with others (pairs grow with members, not their square; the source of a
+group of copies shares most), and the links' components are drawn up. Where a bucket's members then still
+lie in several components, its members meet in blocks of bounded size: a task compares signatures of nodes
+of different components, verifies those that may reach the threshold by their shingles at once, and gives
+out only links that join two components. So no link that joins classes is lost but by the bands (a pair at
+0.8 shares no band with a probability of 3 in a million).
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ BANDS = COORDINATES // ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
 #: Below this share of equal coordinates a pair isn't verified: 4.5 standard deviations under LEAST.
 HOPE = LEAST - 4.5 * np.sqrt(LEAST * (1 - LEAST) / COORDINATES)
-#: Entries of a worker's memo of word hashes; members of a bucket compared at once.
-MEMO, TOGETHER = 300_000, 1024
+#: Entries of a worker's memo of word hashes; members of a bucket in a block, and bytes of their shingles.
+MEMO, TOGETHER, BLOCK_BYTES = 300_000, 1024, 16 << 20
 U = np.uint64
 
 
@@ -166,17 +168,19 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "node long, shingles binary")
 
 
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 0 where their sizes alone keep it under LEAST."""
+    if min(len(x), len(y)) < LEAST * max(len(x), len(y)):
+        return 0.0
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
+
+
 @F.pandas_udf(T.DoubleType())
 def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        if min(len(x), len(y)) >= LEAST * max(len(x), len(y)):
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            out[i] = shared / (len(both) - shared)
-    return pd.Series(out)
+    return pd.Series([likeness(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, holders: DataFrame) -> DataFrame:
@@ -208,13 +212,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("node", "component")
 
 
-def compared(buckets: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components within a bucket whose signatures may reach the threshold.
+def joined(buckets: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within a bucket: enough of them to join all that links join.
 
-    buckets: bucket, node, component, signature. A bucket of more than TOGETHER members is cut in blocks and
-    every two of its blocks meet in a task of their own, so a task holds two blocks at most.
+    buckets: bucket, node, component, signature, shingles. A bucket of more than TOGETHER members or
+    BLOCK_BYTES of shingles is cut in blocks, and every two of its blocks meet in a task of their own, so a
+    task holds two blocks at most. A group gives fewer links than it has members.
     """
-    sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("blocks"))
+    sizes = buckets.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = buckets.join(sizes, "bucket").withColumn("block", own)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -222,16 +227,18 @@ def compared(buckets: DataFrame) -> DataFrame:
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), COORDINATES)
-        node, part, block = frame["node"].to_numpy(), frame["component"].to_numpy(), frame["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in frame["shingles"]]
+        node, part, block = frame["node"].to_numpy(), frame["component"].to_numpy().copy(), frame["block"].to_numpy()
         same_block = frame["low"].iat[0] == frame["high"].iat[0]
-        a, b = [], []
+        found = []
         for i in range(len(frame)):
             j = slice(i + 1, None)
-            near = ((sig[j] == sig[i]).mean(1) >= HOPE) & (part[j] != part[i]) & (same_block | (block[j] != block[i]))
-            hits = np.flatnonzero(near) + i + 1
-            a += [min(node[i], node[k]) for k in hits]
-            b += [max(node[i], node[k]) for k in hits]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            open_pairs = np.flatnonzero((part[j] != part[i]) & (same_block | (block[j] != block[i]))) + i + 1
+            for k in open_pairs[(sig[open_pairs] == sig[i]).mean(1) >= HOPE]:
+                if part[k] != part[i] and likeness(sets[i], sets[k]) >= LEAST:
+                    found.append((min(node[i], node[k]), max(node[i], node[k])))
+                    part[part == part[k]] = part[i]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return rows.groupBy("bucket", "low", "high").applyInPandas(meet, "a long, b long").distinct()
 
@@ -249,18 +256,22 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "neardup-nodes")
     holders = nodes.where("doc_id IS NOT NULL").select("node", "doc_id")
     banded = nodes.where("doc_id IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
-    heads = written(banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "neardup-heads")
-    members = written(banded.join(heads, "bucket"), "neardup-members")
-    pairs = written(members.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "neardup-pairs")
-    links = verified(pairs, docs, holders)
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(banded.join(sizes, "bucket"), "neardup-shared")
+    ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("rank")), "node")
+    heads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("rank", "node")).alias("head"))
+    members = written(shared.join(heads, "bucket"), "neardup-members")
+    pairs = members.where("node != head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
+    links = verified(written(pairs, "neardup-pairs"), docs, holders)
     parts = components(links)
     # buckets of three and more that are still in several parts: pairs of their members without the head are untested
     open_rows = members.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = written(open_rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket"), "neardup-open")
-    if not split.isEmpty():
-        rest = open_rows.join(split, "bucket").join(nodes.select("node", "signature"), "node").select("bucket", "node", "component", "signature")
-        more = compared(rest).join(pairs, ["a", "b"], "left_anti")
-        found = verified(written(more, "neardup-more"), docs, holders)
+    split = open_rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    rest = written(open_rows.join(split, "bucket").select("bucket", "node", "component"), "neardup-open")
+    if not rest.isEmpty():
+        known = nodes.select("node", "doc_id", "signature").join(rest.select("node").distinct(), "node")
+        sets = shingle_sets(docs, known.select("node", "doc_id")).join(known.select("node", "signature"), "node")
+        found = written(joined(rest.join(written(sets, "neardup-sets"), "node")), "neardup-links")
         if not found.isEmpty():
             parts = components(links.union(found))
     labelled = nodes.select("node", "doc_id").join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))

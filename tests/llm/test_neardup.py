@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from graniteflow.llm import neardup
-from graniteflow.llm.neardup import Shingler, classes, components, compared, deduplicated, mix, signatures, weighted
+from graniteflow.llm.neardup import Shingler, classes, components, deduplicated, joined, mix, signatures, weighted
 
 SCHEMA = "doc_id long, text string, node int, class_id string"
 
@@ -91,9 +91,20 @@ def test_components_of_a_long_path(spark):
 def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "TOGETHER", 4)
     s = Shingler()
-    texts = [f"w{i // 3} x y z a b c d e f g h i j k l m n o p q r s {i % 3}" for i in range(30)]
+    texts = [" ".join(f"{c}{i // 3}" for c in "uvwxyz") + f" a b c d e f g h i j k l m n o p q r s {i % 3}" for i in range(30)]
     pairs = [weighted(s(t)) for t in texts]
     sig = signatures([v for v, _ in pairs], [w for _, w in pairs])
-    want = {(i, j) for j in range(30) for i in range(j) if (sig[i] == sig[j]).mean() >= neardup.HOPE}
-    rows = spark.createDataFrame([(7, i, i, bytearray(sig[i].tobytes())) for i in range(30)], "bucket long, node long, component long, signature binary")
-    assert {tuple(r) for r in compared(rows).collect()} == want
+    sets = [np.unique((s(t) >> np.uint64(32)).astype(np.uint32)) for t in texts]
+    links = {(i, j) for j in range(30) for i in range(j) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+
+    def least(pairs):
+        label = list(range(30))
+        for _ in range(30):
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        return label
+
+    schema = "bucket long, node long, component long, signature binary, shingles binary"
+    rows = spark.createDataFrame([(7, i, i, bytearray(sig[i].tobytes()), bytearray(sets[i].tobytes())) for i in range(30)], schema)
+    found = {tuple(r) for r in joined(rows).collect()}
+    assert found <= links and least(found) == least(links) and len(set(least(links))) == 10
