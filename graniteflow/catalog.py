@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graniteflow.plans import takeoff
+from graniteflow.plans import events, layout, records, rollups, takeoff
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (takeoff,):
+for _module in (takeoff, rollups, events, layout, records):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
