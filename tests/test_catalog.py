@@ -26,7 +26,7 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_sql(spark, sql, name):
     found = catalog.QUERIES[name](spark, SF)
     want = sql.execute(catalog.ORACLES[name])
