@@ -10,9 +10,10 @@ from graniteflow.session import table
 
 VOLUME = "length * width * height"
 SUMS_SQL = "count(*) AS n, round(sum(quantity), 3) AS total_quantity, round(sum(length * width * height), 1) AS total_volume"
-#: Weight of a candidate's source in the weighted confidence.
-WEIGHT = {"A": 0.6, "N": 0.7, "R": 0.85}
-WEIGHT_SQL = "CASE l_returnflag WHEN 'A' THEN 0.6 WHEN 'N' THEN 0.7 WHEN 'R' THEN 0.85 ELSE 0.5 END::DOUBLE"
+#: Weight of a candidate's source in the weighted confidence, in hundredths.
+WEIGHT = {"A": 60, "N": 70, "R": 85}
+OTHER_WEIGHT = 50
+WEIGHT_SQL = "CASE l_returnflag WHEN 'A' THEN 60 WHEN 'N' THEN 70 WHEN 'R' THEN 85 ELSE 50 END"
 
 
 def sums() -> tuple[Column, ...]:
@@ -54,14 +55,19 @@ def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each drawing: sum(w c c) / sum(w c), with bonuses for agreement (0.1 at most) and several sources (0.05); 1 at most."""
-    w = F.lit(0.5)
+    """Of each drawing: sum(w c c) / sum(w c), with bonuses for agreement (0.1 at most) and several sources (0.05); 1 at most.
+
+    Sums are of whole hundredths, so the result doesn't depend on the order of rows.
+    """
+    w = F.lit(OTHER_WEIGHT)
     for flag, value in WEIGHT.items():
         w = F.when(F.col("l_returnflag") == flag, value).otherwise(w)
-    c = 1 - F.col("l_discount")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("drawing_id"), "l_returnflag", c.alias("c"), w.alias("w"))
-    mean = F.sum(F.col("w") * F.col("c") * F.col("c")) / F.sum(F.col("w") * F.col("c"))
-    bonus = 0.1 * F.greatest(F.lit(0.0), 1 - F.var_pop("c")) + F.when(F.min("l_returnflag") < F.max("l_returnflag"), 0.05).otherwise(0.0)
+    c = 100 - F.round(F.col("l_discount") * 100).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("drawing_id"), "l_returnflag", c.alias("c"), w.cast("long").alias("w"))
+    mean = F.try_divide(F.sum(F.expr("w * c * c")).cast("double"), F.sum(F.expr("w * c")) * 100)
+    n = F.count("c")
+    variance = (n * F.sum(F.expr("c * c")) - F.sum("c") * F.sum("c")).cast("double") / (n * n * 10000)
+    bonus = 0.1 * F.greatest(F.lit(0.0), 1 - variance) + F.when(F.min("l_returnflag") < F.max("l_returnflag"), 0.05).otherwise(0.0)
     return rows.groupBy("drawing_id").agg(F.round(F.least(F.lit(1.0), mean * 0.8 + bonus), 6).alias("confidence"))
 
 
@@ -73,6 +79,7 @@ ORACLES = {
     "compliance_report": f"WITH {COMPONENTS_SQL} SELECT component_type, count(*) AS n, count(*) FILTER (ok) AS compliant, round(avg(ok::INT), 6) AS compliance_rate FROM (SELECT *, quantity > 0 AND length <= 45 AND width <= 4 AS ok FROM components) GROUP BY 1",
     "area_volume_by_type": f"WITH {COMPONENTS_SQL} SELECT component_type, round(sum(CASE component_type WHEN 'wall' THEN length * height ELSE length * width END), 1) AS area, round(sum(length * width * height), 1) AS volume FROM components GROUP BY 1",
     "largest_component": f"WITH {COMPONENTS_SQL} SELECT drawing_id, ord, material FROM (SELECT *, row_number() OVER (PARTITION BY drawing_id ORDER BY length * width * height DESC, ord, material DESC) AS r FROM components) WHERE r = 1",
-    "weighted_confidence": f"""SELECT drawing_id, round(least(1.0, sum(w * c * c) / sum(w * c) * 0.8 + 0.1 * greatest(0.0, 1 - var_pop(c)) + CASE WHEN min(flag) < max(flag) THEN 0.05 ELSE 0 END), 6) AS confidence
-      FROM (SELECT l_orderkey AS drawing_id, l_returnflag AS flag, 1 - l_discount AS c, {WEIGHT_SQL} AS w FROM lineitem) GROUP BY 1""",
+    "weighted_confidence": f"""SELECT drawing_id, round(least(1.0, wcc / (wc * 100) * 0.8::DOUBLE + (0.1::DOUBLE * greatest(0.0, 1 - v) + CASE WHEN many THEN 0.05 ELSE 0 END::DOUBLE)), 6) AS confidence
+      FROM (SELECT drawing_id, sum(w * c * c)::DOUBLE AS wcc, sum(w * c)::DOUBLE AS wc, min(flag) < max(flag) AS many, (count(*) * sum(c * c) - sum(c) * sum(c))::DOUBLE / (count(*) * count(*) * 10000) AS v
+        FROM (SELECT l_orderkey AS drawing_id, l_returnflag AS flag, 100 - round(l_discount * 100)::BIGINT AS c, {WEIGHT_SQL} AS w FROM lineitem) GROUP BY 1)""",
 }

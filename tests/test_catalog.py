@@ -1,6 +1,7 @@
 """Every query of the catalogue against its SQL twin."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from graniteflow import catalog
 from graniteflow.session import TABLES
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
