@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graniteflow.plans import content, events, layout, records, rollups, takeoff
+from graniteflow.plans import content, events, layout, matching, records, rollups, takeoff
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (takeoff, rollups, events, layout, records, content):
+for _module in (takeoff, rollups, events, layout, records, content, matching):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
