@@ -1,7 +1,7 @@
 """MinHash near-duplicate detection with DartMinHash signatures.
 
-A text is the weighted set of its five-word shingles (weight 1 + ln of the count). Darts are thrown at
-each element's region of weight times rank: they arrive along the rank axis as a Poisson process drawn
+A text is the set of its five-word shingles, each of weight 1 however often it repeats: candidates and
+links go by one measure, the Jaccard similarity of distinct shingles. Darts are thrown at each element's region of weight times rank: they arrive along the rank axis as a Poisson process drawn
 from the element's hash, so equal elements get equal darts. A dart below the element's weight counts; it
 falls to one of ``COORDINATES`` and the earliest at each coordinate makes up the signature. Two sets agree
 at a coordinate with the probability of their weighted Jaccard similarity.
@@ -115,8 +115,9 @@ def signatures(sets: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
 
 
 def weighted(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = np.unique(shingles, return_counts=True)
-    return values, 1 + np.log(counts)
+    """Distinct shingles and their weights: 1 each, as ``likeness`` counts them."""
+    values = np.unique(shingles)
+    return values, np.ones(len(values))
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:

@@ -108,3 +108,27 @@ def test_large_bucket_is_compared_in_blocks(spark, monkeypatch):
     rows = spark.createDataFrame([(7, i, i, bytearray(sig[i].tobytes()), bytearray(sets[i].tobytes())) for i in range(30)], schema)
     found = {tuple(r) for r in joined(rows).collect()}
     assert found <= links and least(found) == least(links) and len(set(least(links))) == 10
+
+
+def pasted(count=12, seed=9):
+    """Texts, each with itself pasted 4 and 10 times: exact similarities are over 0.9."""
+    rng = random.Random(seed)
+    bases = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(80)) for _ in range(count)]
+    return [" ".join([t] * n) for t in bases for n in (1, 4, 10)]
+
+
+def test_repeated_text_against_brute_force(spark):
+    rows = [(i, t) for i, t in enumerate(pasted())]
+    out = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute(rows) == {i: i // 3 * 3 for i in range(len(rows))}
+
+
+def test_repeated_text_in_a_large_bucket(spark):
+    s, texts = Shingler(), pasted()
+    pairs = [weighted(s(t)) for t in texts]
+    sig = signatures([v for v, _ in pairs], [w for _, w in pairs])
+    sets = [np.unique((s(t) >> np.uint64(32)).astype(np.uint32)) for t in texts]
+    schema = "bucket long, node long, component long, signature binary, shingles binary"
+    rows = spark.createDataFrame([(7, i, i, bytearray(sig[i].tobytes()), bytearray(sets[i].tobytes())) for i in range(len(texts))], schema)
+    parts = dict(map(tuple, components(joined(rows)).collect()))
+    assert parts == {i: i // 3 * 3 for i in range(len(texts))}
