@@ -144,13 +144,14 @@ def summaries(marginal: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(starts)), np.log(top / (1 - top)), np.log1p(np.add.reduceat(marginal, starts))])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> np.ndarray:
-    """Weights by Newton's method."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2, counts: np.ndarray | None = None) -> np.ndarray:
+    """Weights by Newton's method. counts: how many rows each row stands for, 1 unless given."""
+    counts = np.ones(len(y)) if counts is None else counts
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        d = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (counts * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        d = np.linalg.solve(h, x.T @ (counts * (y - p)) - ridge * w)
         w += d
         if np.abs(d).max() < 1e-6:
             break
@@ -160,11 +161,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float =
 class Corpus:
     """Training documents as arrays: each distinct word's features, each document's words."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
+    def __init__(self, texts: list[str], toxic: np.ndarray, counts: np.ndarray):
         number: dict[str, int] = {}
         docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
         keep = [i for i, d in enumerate(docs) if len(d)]
-        self.docs, self.toxic = [docs[i] for i in keep], toxic[keep].astype(int)
+        self.docs, self.toxic, self.counts = [docs[i] for i in keep], toxic[keep].astype(int), counts[keep]
         self.words = np.concatenate(self.docs) if keep else np.zeros(0, np.int64)
         sizes = np.array([len(d) for d in self.docs], np.int64)
         self.starts = np.cumsum(sizes) - sizes
@@ -184,7 +185,7 @@ class Corpus:
         """Which features mark toxic documents.
 
         A feature's gain is the log-likelihood ratio of its documents being toxic, against the share of
-        toxic documents. Greedy choice goes on down to a gain of ``least`` over unexplained documents;
+        toxic documents; both are of the drawn documents, whose number is the evidence there is. Greedy choice goes on down to a gain of ``least`` over unexplained documents;
         features with a gain of ``sure`` over all documents are chosen in any case.
         """
         words = len(self.count)
@@ -209,7 +210,8 @@ class Corpus:
 
         open_docs = self.toxic == 1
         bad_n = np.bincount(feature, minlength=len(self.names))
-        pure = (bad_n + 0.01) / (bad_n + good_n + 0.02) > 0.75
+        bad_share, good_share = (bad_n + 0.01) / max(1, (self.toxic == 1).sum()), (good_n + 0.01) / max(1, (self.toxic == 0).sum())
+        pure = bad_share / (bad_share + good_share) > 0.75  # within each class, so the drawn mix doesn't matter
         chosen = (gain(bad_n) >= sure) & pure
         open_docs[np.unique(by_feature[np.repeat(chosen, np.diff(edges))])] = False
         while open_docs.any():
@@ -230,12 +232,14 @@ class Corpus:
         return np.unique(near[self.of_doc[near] == self.of_doc[centres][:, None]])
 
 
-def fit(texts: list[str], toxic: np.ndarray, most_words: int = 40_000, steps: int = 40, ridge: float = 0.3, reach: int = 8) -> Field:
+def fit(texts: list[str], toxic: np.ndarray, counts: np.ndarray | None = None, most_words: int = 40_000, steps: int = 40, ridge: float = 0.3, reach: int = 8) -> Field:
     """The field and its calibration from whole training texts and their document labels.
 
+    counts: how many labelled rows each text stands for (the inverse of its drawing chance), 1 unless given.
     most_words: how many words each of the three kinds of stretches may have.
     """
-    field, data = Field(), Corpus(texts, np.asarray(toxic))
+    counts = np.ones(len(texts)) if counts is None else counts / counts.mean()
+    field, data = Field(), Corpus(texts, np.asarray(toxic), counts)
     if not len(data.words) or data.toxic.min() == data.toxic.max():
         rate = float(np.mean(toxic)) if len(toxic) else 0.0
         field.calibration = np.array([np.log((rate + 1e-3) / (1 - rate + 1e-3)), 0.0, 0.0])
@@ -272,23 +276,27 @@ def fit(texts: list[str], toxic: np.ndarray, most_words: int = 40_000, steps: in
         centres = np.concatenate([centres, draw(wrong)])
     field.weight = {f: float(w) for f, w in zip(data.names, weight, strict=True) if abs(w) > 0.02}
     marginal = chain(emission, data.starts, field.step)[0]
-    field.calibration = fit_logistic(summaries(marginal, data.starts), data.toxic)
+    field.calibration = fit_logistic(summaries(marginal, data.starts), data.toxic, counts=data.counts)
     return field
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, most: int = 700) -> tuple[list[str], np.ndarray]:
-    """``most`` toxic and ``most`` other labelled texts at most, drawn by hash over all labelled rows."""
+def training_texts(docs: DataFrame, labels: DataFrame, most: int = 700) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``most`` toxic and ``most`` other labelled texts at most, drawn by hash over all labelled rows.
+
+    Of each text its label and how many labelled rows it stands for: the inverse of its class's drawing chance.
+    """
     labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("_toxic")).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["count"] for r in labels.groupBy("_toxic").count().collect()}  # two rows
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1_000_000)) / 1_000_000
     chance = F.when(F.col("_toxic") == 1, most / max(1, counts.get(1, 0))).otherwise(most / max(1, counts.get(0, 0)))
     drawn = labels.where(draw < chance).select("doc_id", "_toxic").collect()  # about twice ``most`` rows at most
     if not drawn:
-        return [], np.zeros(0)
+        return [], np.zeros(0), np.zeros(0)
     sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, _toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").toPandas()
     rows = rows.sort_values(["doc_id", "text"])
-    return rows["text"].tolist(), rows["_toxic"].to_numpy(float)
+    stands = {c: max(1.0, n / most) for c, n in counts.items()}
+    return rows["text"].tolist(), rows["_toxic"].to_numpy(float), rows["_toxic"].map(stands).to_numpy(float)
 
 
 class Scorer:

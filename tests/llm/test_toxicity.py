@@ -7,7 +7,7 @@ import pytest
 
 from graniteflow.llm import toxicity
 from graniteflow.llm.common import held_out
-from graniteflow.llm.toxicity import chain, fit, score, spans_of, train_on_fold
+from graniteflow.llm.toxicity import chain, fit, score, spans_of, train_on_fold, training_texts
 
 SCHEMA = "doc_id long, text string, score string, spans int"
 LABELS = "doc_id long, quality int, toxic int"
@@ -83,3 +83,19 @@ def test_edges(spark, field):
 
 def test_spans_join_neighbours():
     assert spans_of("ab cd, ef gh", np.array([0.1, 0.9, 0.8, 0.2])) == [{"start": 3, "end": 9, "marginal": 0.9}]
+
+
+def test_scores_do_not_depend_on_the_draw(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choices(["an", "er", "li", "to", "ka"], k=3)) for _ in range(80)]
+    docs, labels = [], []
+    for i in range(3000):
+        bad = i % 10 == 0
+        marked = bad or i % 10 == 1  # of the marked documents half are toxic
+        docs.append((i, " ".join([*rng.choices(plain, k=20), *["villain", "scoundrel"] * marked]), None, None))
+        labels.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    for most in (100, 5000):
+        out = score(docs, fit(*training_texts(docs, labels, most))).select("doc_id", "score").toPandas()
+        marked = out["doc_id"] % 10 < 2
+        assert abs(out["score"].mean() - 0.1) < 0.03 and abs(out["score"][marked].mean() - 0.5) < 0.15
