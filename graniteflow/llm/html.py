@@ -56,7 +56,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The flat blocks of a page, in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, apart, main
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, apart, main, marked apart itself
     parts: list[str] = []
     linked, anchors, apart, main, heading = 0, 0, False, False, False
 
@@ -95,26 +95,33 @@ def blocks_of(page: str) -> list[Block]:
             anchors = 0 if ends else 1
         elif tag == "br":
             parts.append(" ")
-        if tag not in BLOCK and tag not in APART and not (rest and tag not in VOID):
-            continue
+        if tag not in BLOCK and tag not in APART and not (rest and tag not in VOID) and not any(x[0] == tag for x in stack):
+            continue  # an inline tag that marks nothing; one whose name is open counts, so that each closing tag finds its own
         if tag in BLOCK:
             close()
             anchors = 0 if tag != "a" and ends else anchors
         if ends:
             for n in range(len(stack) - 1, -1, -1):
                 if stack[n][0] == tag:
+                    if tag in BLOCK or tag in APART:
+                        del stack[n:]
+                        break
+                    above = stack[n + 1 :]
                     del stack[n:]
+                    if any(x[0] in BLOCK for x in above):  # blocks opened inside go on, without the inline tag's mark
+                        for name, _, within, own in above:
+                            stack.append((name, bool(stack and stack[-1][1] and name not in MAIN) or own, within, own))
                     break
         elif tag not in VOID:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            inner = stack[-1] if stack else ("", False, False)
+            inner = stack[-1] if stack else ("", False, False, False)
             marked = tag in APART or (tag == "header" and not inner[2])
             if rest and tag not in MAIN and tag not in ("html", "body"):
                 marked = marked or any(HINT.search(x.strip("\"'")) for x in NAMES.findall(rest)) or bool(HIDDEN.search(rest))
             inside = tag in MAIN
-            stack.append((tag, (inner[1] and not inside) or marked, inner[2] or inside))
-        top = stack[-1] if stack else ("", False, False)
+            stack.append((tag, (inner[1] and not inside) or marked, inner[2] or inside, marked))
+        top = stack[-1] if stack else ("", False, False, False)
         if tag not in BLOCK and (top[1] != apart):
             close()
         apart, main = top[1], top[2]

@@ -41,3 +41,23 @@ def test_extract(spark):
     out = extract(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["n_chars"], r["text"][:3]) for r in out) == [(0, ""), (3, "x é"), (3, "x é"), (249_999, "lon")]
     assert extract(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><p>One <span class="ad">x</span> two three</p></article>', "One\ntwo three"),
+        ('<article><p>One <a class="related" href="/x">x</a> two</p><p>three</p></article>', "One\ntwo\nthree"),
+        ('<article><p>One <b hidden>x</b> two</p></article>', "One\ntwo"),
+        ('<article><p>One <span class="ad">x <span>y</span> z</span> two</p></article>', "One\ntwo"),
+        ('<article><p>One <span class="big">x</span> two <span>y</span> three</p></article>', "One x two y three"),
+        ('<article><a class="share" href="/x"><div>share</div></a><div>two three</div></article>', "two three"),
+        ('<article><div><a class="share" href="/x">s<p>t</a> two</p><p>three</p></div></article>', "two\nthree"),
+    ],
+)
+def test_inline_marks_end_with_their_tags(page, want):
+    assert main_text(page) == want
+
+
+def test_heading_after_an_inline_tag():
+    assert [b.heading for b in blocks_of('<h2><a class="x" href="/x">One</a></h2><p>two</p>')] == [True, False]
