@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graniteflow.llm.tokens import default_path, encoder
 
@@ -162,10 +164,12 @@ def packed(rows: Iterable[tuple], limits: Limits, first: int) -> Iterator[pa.Rec
     yield batch()
 
 
-def pack(docs: DataFrame, limits: Limits = Limits(), end_id: int = 2, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, limits: Limits = Limits(), end_id: int = 2, path: str | None = None, prompt: str | None = None) -> DataFrame:
     """A row for each piece of each row of ``docs`` (doc_id, text): where it starts in its document's ids, its length, sequence and offset there.
 
-    All tokens of a document bear loss. path: the vocabulary file, on every machine. Null and empty text
+    prompt: a column of docs. Of a whole number, so many of a document's first tokens bear no loss (at most
+    all, at least none); of strings, the prompt's own tokens come before the text's and bear none. A null is
+    no prompt; without the column all tokens bear loss. path: the vocabulary file, on every machine. Null and empty text
     give the end id alone; repeated rows are documents of their own; a null doc_id is kept; an empty table
     gives no rows; other columns are ignored. Very long texts are cut into full sequences.
     """
@@ -174,11 +178,22 @@ def pack(docs: DataFrame, limits: Limits = Limits(), end_id: int = 2, path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, first = encoder(path), TaskContext.get().partitionId() << 32
-        rows = ((doc, encode(text or "") + end, 0) for b in batches for doc, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True) for text in (text.as_py(),))
-        yield from packed(rows, limits, first)
+
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for doc, text, before in zip(b["doc_id"].to_pylist(), b["text"], b["prompt"], strict=True):
+                    before = before.as_py()
+                    head = encode(before) if isinstance(before, str) and before else b""
+                    ids = head + encode(text.as_py() or "") + end
+                    yield doc, ids, len(head) // 4 if isinstance(before, str) else min(max(before or 0, 0), len(ids) // 4)
+
+        yield from packed(rows(), limits, first)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
+    of = F.lit(None).cast("long") if prompt is None else docs[prompt]
+    if prompt is not None and not isinstance(docs.schema[prompt].dataType, (T.StringType, T.IntegralType)):
+        raise ValueError(f"{prompt} holds neither whole numbers nor strings")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", of.alias("prompt")).mapInArrow(run, schema)
 
 
 def op3_pack(spark, sf_dir: str) -> DataFrame:

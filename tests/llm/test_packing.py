@@ -96,3 +96,28 @@ def test_fast_way_agrees_with_the_library():
     enc = encoder(default_path())
     for text in texts:
         assert np.frombuffer(enc(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_loss_limit_through_the_dataframe(spark, kind):
+    rng, limits, enc = random.Random(7), Limits(64, 8, 20), encoder(default_path())
+    say = lambda most: " ".join(rng.choices(["ab", "don't", "naïve", "x"], k=rng.randint(1, most)))
+    rows = [(i, say(60), rng.choice([None, 0, 3, 40, 9999]) if kind == "int" else rng.choice([None, "", say(50)])) for i in range(80)]
+    out = pack(spark.createDataFrame(rows, f"doc_id long, text string, before {kind}"), limits, prompt="before").collect()
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in out:
+        sequences[r["sequence_id"]].append(r)
+        pieces[r["doc_id"]].append(r)
+    for s in sequences.values():
+        assert sum(r["length"] for r in s) <= 64 and len(s) <= 8 and sum(r["loss_tokens"] for r in s) <= 20
+    for i, text, before in rows:
+        head = np.frombuffer(enc(before), "<u4").tolist() if kind == "string" and before else []
+        ids = [*head, *np.frombuffer(enc(text), "<u4").tolist(), 2]
+        bare, at = (min(before or 0, len(ids)) if kind == "int" else len(head)), 0
+        for p in sorted(pieces[i], key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids)
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids[at : at + p["length"]], "<u4").tobytes())
+            at += p["length"]
+            assert p["loss_tokens"] == max(0, at - max(p["start"], bare))
+        assert at == len(ids)
+    assert sum(r["loss_tokens"] for r in out) < sum(r["length"] for r in out)
