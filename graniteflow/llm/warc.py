@@ -129,6 +129,11 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, segment: int = 1
     columns.mapInPandas(write, "value string").write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
+def _whole(text: str | None, default: int) -> int:
+    """The number in a header, which may be cut off or missing."""
+    return int(text) if text and re.fullmatch(r"\s*-?[0-9]+\s*", text) else default
+
+
 FIELDS = "origin string, number int, total long, kind string, page string, url string, digest string, refers string, length long, block binary"
 
 
@@ -144,12 +149,12 @@ def segments(spark, path: str) -> DataFrame:
                 head, _, rest = value.partition(END)
                 h = dict(line.split(": ", 1) for line in head.split(CRLF) if ": " in line)
                 data = rest.encode()
-                size = int(h.get("Content-Length", -1))
+                size = _whole(h.get("Content-Length"), -1)
                 whole = 0 <= size <= len(data) and "WARC-Type" in h
-                number = int(h.get("WARC-Segment-Number", 0))
+                number = _whole(h.get("WARC-Segment-Number"), 0)
                 out.append(
-                    (h.get("WARC-Segment-Origin-ID") or h.get("WARC-Record-ID"), number, int(h.get("WARC-Segment-Total-Length", -1)), h["WARC-Type"] if whole else None,
-                     h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest"), h.get("WARC-Refers-To"), int(h.get("X-Payload-Length", -1)), data[: max(size, 0)])
+                    (h.get("WARC-Segment-Origin-ID") or h.get("WARC-Record-ID"), number, _whole(h.get("WARC-Segment-Total-Length"), -1), h["WARC-Type"] if whole else None,
+                     h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest"), h.get("WARC-Refers-To"), _whole(h.get("X-Payload-Length"), -1), data[: max(size, 0)])
                 )
             yield pd.DataFrame(out, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
@@ -161,7 +166,9 @@ PAGES = "page string, url string, record_type string, digest string, refers stri
 
 def _page(first, blocks: list[bytes], total: int, missing: bool) -> tuple:
     block, problem, payload = b"".join(blocks), None, b""
-    if missing:
+    if first.kind is None:
+        problem = "record is torn"
+    elif missing:
         problem = "segments are missing"
     elif total >= 0 and total != len(block):
         problem = f"total length is {len(block)}, not {total}"
@@ -180,11 +187,12 @@ def _page(first, blocks: list[bytes], total: int, missing: bool) -> tuple:
 def read_archives(spark, path: str) -> DataFrame:
     """A row for each record that isn't a continuation: ids, type, digest, payload in full and ``problem``.
 
-    problem is null for a sound record, else it says what is wrong (segments missing, wrong total length,
-    bad framing); the row is kept. Segments that come twice with one number count once. A revisit has
+    problem is null for a sound record, else it says what is wrong (record torn, segments missing, wrong total
+    length, bad framing); the row is kept. A torn record, be it a continuation, has a row of its own with a null
+    type, and counts as missing among its page's segments. Segments that come twice with one number count once. A revisit has
     an empty payload and the length that it states.
     """
-    found = segments(spark, path).where("kind IS NOT NULL")
+    found = segments(spark, path)
     names = [f.split()[0] for f in PAGES.split(", ")]
 
     def single(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +207,7 @@ def read_archives(spark, path: str) -> DataFrame:
         whole = numbers == list(range(1, len(rows) + 1)) and rows[-1].total >= 0
         return pd.DataFrame([_page(first, [r.block for r in rows], rows[-1].total, not whole)], columns=names)
 
-    return found.where("number = 0").mapInPandas(single, PAGES).unionByName(found.where("number > 0").groupBy("origin").applyInPandas(gathered, PAGES))
+    return found.where("number = 0 OR kind IS NULL").mapInPandas(single, PAGES).unionByName(found.where("number > 0 AND kind IS NOT NULL").groupBy("origin").applyInPandas(gathered, PAGES))
 
 
 def page_table(spark, path: str) -> DataFrame:

@@ -66,3 +66,18 @@ def test_empty_table(spark):
     path = fresh_path(spark, "warc-empty")
     write_archives(spark.createDataFrame([], SCHEMA), path)
     assert page_table(spark, path).collect() == []
+
+
+def test_torn_records_are_given_out(spark, tmp_path):
+    def record(name, block, size=None, more="WARC-Type: response\r\n"):
+        return f"WARC/1.1\r\n{more}WARC-Record-ID: <{name}>\r\nContent-Length: {len(block) if size is None else size}\r\n\r\n{block}\r\n\r\n"
+
+    block = "HTTP/1.1 200 OK\r\n\r\nbody"
+    torn = [record("short", block, 999), record("typeless", block, more=""), "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <head>\r\nContent-Length: "]
+    torn += [record("next", block, 999, "WARC-Type: continuation\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Origin-ID: <sound>\r\n")]
+    (tmp_path / "a.warc").write_bytes((record("sound", block) + "".join(torn)).encode())
+    out = {r["page"].strip("<>"): r for r in read_archives(spark, f"file://{tmp_path}").collect()}
+    assert {n: r["problem"] for n, r in out.items()} == {"sound": None} | dict.fromkeys(["short", "typeless", "head", "next"], "record is torn")
+    assert bytes(out["sound"]["payload"]) == b"body" and out["short"]["record_type"] is None
+    with pytest.raises(Exception, match="record is torn"):
+        page_table(spark, f"file://{tmp_path}").collect()
