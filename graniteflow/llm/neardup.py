@@ -1,26 +1,28 @@
 """MinHash near-duplicate detection with DartMinHash signatures.
 
 A text is the set of its five-word shingles, each of weight 1 however often it repeats: candidates and
-links go by one measure, the Jaccard similarity of distinct shingles. Darts are thrown at each element's region of weight times rank: they arrive along the rank axis as a Poisson process drawn
-from the element's hash, so equal elements get equal darts. A dart below the element's weight counts; it
-falls to one of ``COORDINATES`` and the earliest at each coordinate makes up the signature. Two sets agree
-at a coordinate with the probability of their weighted Jaccard similarity.
+links go by one measure, the Jaccard similarity of distinct shingles. Darts are thrown at each element's
+region of weight times rank: they arrive along the rank axis as a Poisson process drawn from the element's
+hash, so equal elements get equal darts. A dart below the element's weight counts; it falls to one of
+``COORDINATES`` and the earliest at each coordinate makes up the signature. Two sets agree at a coordinate
+with the probability of their weighted Jaccard similarity.
 
 Coordinates are banded; texts that share a band are candidates, and a candidate pair is a link when the
 exact Jaccard similarity of their shingles is 0.8 or more. Classes are the connected components of links.
 
-Shape of the job: equal texts are one node. In each bucket every member is paired with one of its members,
-that which shares most buckets with others (pairs grow with members, not their square; the source of a
-group of copies shares most), and the links' components are drawn up. Where a bucket's members then still
-lie in several components, its members meet in blocks of bounded size: a task compares signatures of nodes
-of different components, verifies those that may reach the threshold by their shingles at once, and gives
-out only links that join two components. So no link that joins classes is lost but by the bands (a pair at
-0.8 shares no band with a probability of 3 in a million).
+Shape of the job: equal texts are one node, known by a hash of the text. In each bucket every member is
+paired with one of its members, that which shares most buckets with others (pairs grow with members, not
+their square; the source of a group of copies shares most), and the links' components are drawn up. Where
+a bucket's members then still lie in several components, pairs without the head are untested. A large
+bucket of that kind is first dealt by its members' other bands: two texts at 0.8 that share one band share
+another with a probability of 1 - 5e-6, so its members meet in the smaller buckets of two bands. There a
+task compares signatures of nodes of different components, verifies those that may reach the threshold by
+their shingles at once, and gives out only links that join two components. So no link that joins classes is
+lost but by the bands (a pair at 0.8 shares no band with a probability of 3 in a million).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,9 @@ BANDS = COORDINATES // ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
 #: Below this share of equal coordinates a pair isn't verified: 4.5 standard deviations under LEAST.
 HOPE = LEAST - 4.5 * np.sqrt(LEAST * (1 - LEAST) / COORDINATES)
-#: Entries of a worker's memo of word hashes; members of a bucket in a block, and bytes of their shingles.
-MEMO, TOGETHER, BLOCK_BYTES = 300_000, 1024, 16 << 20
+#: Entries of a worker's memo of word hashes; members of a bucket in a block, and bytes of their shingles;
+#: members of an open bucket from which it is dealt by its members' other bands.
+MEMO, TOGETHER, BLOCK_BYTES, LARGE = 300_000, 1024, 16 << 20, 256
 U = np.uint64
 
 
@@ -129,9 +132,9 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def node_of(text: str) -> int:
-    """The number of a text: 64 bits of its MD5."""
-    return int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
+def with_node(docs: DataFrame, name: str = "node") -> DataFrame:
+    """docs with the number of each row's text, a 64-bit hash; null counts as empty."""
+    return docs.withColumn(name, F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -150,14 +153,14 @@ def sign(docs: DataFrame) -> DataFrame:
                     s = signatures([pairs[i][0] for i in full], [pairs[i][1] for i in full])
                     for i, row, key in zip(full, s, band_keys(s), strict=True):
                         sig[i], keys[i] = row.astype("<u4").tobytes(), key
-                columns = [b["doc_id"], pa.array([node_of(t) for t in texts], pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                columns = [b["doc_id"], b["node"], pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "signature", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, node long, signature binary, bands array<long>")
+    return docs.select("doc_id", "node", "text").mapInArrow(run, "doc_id long, node long, signature binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and its sorted shingle hashes (32 bits each, as binary) for the given nodes."""
+    """node and its sorted shingle hashes (32 bits each, as binary) for the given nodes (node, doc_id: one row that holds its text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
@@ -165,8 +168,10 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = [np.unique((shingle(t or "") >> U(32)).astype(np.uint32)).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["node"], pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    texts = docs.join(nodes, "doc_id").select("node", "text")
-    return texts.mapInArrow(run, "node long, shingles binary")
+    wanted = nodes.select(F.col("node").alias("_node"), F.col("doc_id").alias("_doc"))
+    texts = docs.join(wanted, (docs["node"] == wanted["_node"]) & docs["doc_id"].eqNullSafe(wanted["_doc"])).select("node", "text")
+    # rows that repeat with id and text give the same set: one of each stays, combined before the shuffle
+    return texts.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -213,6 +218,29 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("node", "component")
 
 
+def dealt(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """bucket, node and component of open buckets, those of over LARGE members dealt anew by their members' other bands.
+
+    rest: bucket, node, component. A dealt bucket keeps only the parts that hold several components.
+    """
+    sizes = written(rest.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("bucket"), "neardup-large")
+    large = written(rest.join(sizes, "bucket", "left_semi"), "neardup-large")
+    if large.isEmpty():
+        return rest
+    finer = large.join(nodes.select("node", "bands"), "node").select("node", "component", "bucket", F.explode("bands").alias("_other")).where("_other != bucket")
+    # the two bands' bucket is the same whichever of them was large
+    key = F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other"))
+    finer = written(finer.select(key.alias("bucket"), "node", "component").distinct(), "neardup-finer")
+    return rest.join(sizes, "bucket", "left_anti").unionByName(several(finer))
+
+
+def several(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, node, component) of buckets that hold several components."""
+    split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    # a table of its own: both sides of the join are then plain exchanges, whose hot keys Spark can split
+    return rows.join(written(split, "neardup-split"), "bucket", "left_semi").select("bucket", "node", "component")
+
+
 def joined(buckets: DataFrame) -> DataFrame:
     """Links (a, b) that join different components within a bucket: enough of them to join all that links join.
 
@@ -222,7 +250,7 @@ def joined(buckets: DataFrame) -> DataFrame:
     """
     sizes = buckets.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / TOGETHER, F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = buckets.join(sizes, "bucket").withColumn("block", own)
+    rows = buckets.join(written(sizes, "neardup-blocks"), "bucket").withColumn("block", own)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
@@ -247,28 +275,28 @@ def joined(buckets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id and is_kept of each row of ``docs`` (doc_id, text).
 
-    class_id is the least doc_id of the class; is_kept marks one row of each class (where rows repeat with
-    that doc_id and text, all of these). Null text counts as empty. Wordless texts are alike only if they
-    are equal. Null doc_ids belong to their text's class; a class of null doc_ids alone has a null class_id.
-    An empty table gives no rows; other columns are ignored; texts are read whole.
+    class_id is the least doc_id of the class; is_kept marks the rows with that doc_id and one text of the
+    class (several only where rows repeat with id and text). One doc_id may stand on several texts, each of
+    which is in its own class. Null text counts as empty. Wordless texts are alike only if they are equal.
+    Null doc_ids belong to their text's class; a class of null doc_ids alone has a null class_id. An empty
+    table gives no rows; other columns are ignored; texts are read whole.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = with_node(docs.select(F.col("doc_id").cast("long"), "text"))
     signed = written(sign(docs), "neardup-signed")
     nodes = written(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "neardup-nodes")
-    holders = nodes.where("doc_id IS NOT NULL").select("node", "doc_id")
-    banded = nodes.where("doc_id IS NOT NULL").select("node", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    holders = nodes.select("node", "doc_id")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = written(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "neardup-sizes")
     shared = written(banded.join(sizes, "bucket"), "neardup-shared")
     ranked = shared.join(shared.groupBy("node").agg(F.sum("n").alias("rank")), "node")
-    heads = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("rank", "node")).alias("head"))
+    heads = written(ranked.groupBy("bucket").agg(F.max_by("node", F.struct("rank", "node")).alias("head")), "neardup-heads")
     members = written(shared.join(heads, "bucket"), "neardup-members")
     pairs = members.where("node != head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     links = verified(written(pairs, "neardup-pairs"), docs, holders)
     parts = components(links)
     # buckets of three and more that are still in several parts: pairs of their members without the head are untested
-    open_rows = members.where("n > 2").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = open_rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    rest = written(open_rows.join(split, "bucket").select("bucket", "node", "component"), "neardup-open")
+    open_rows = members.where("n > 2").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    rest = written(dealt(written(several(written(open_rows, "neardup-rows")), "neardup-open"), nodes), "neardup-open")
     if not rest.isEmpty():
         known = nodes.select("node", "doc_id", "signature").join(rest.select("node").distinct(), "node")
         sets = shingle_sets(docs, known.select("node", "doc_id")).join(known.select("node", "signature"), "node")
@@ -276,19 +304,23 @@ def classes(docs: DataFrame) -> DataFrame:
         if not found.isEmpty():
             parts = components(links.union(found))
     labelled = nodes.select("node", "doc_id").join(parts, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    least = labelled.groupBy("component").agg(first.alias("_first")).select("component", F.col("_first.doc_id").alias("class_id"), F.col("_first.node").alias("kept_node"))
     # one row for each text: the class of its node; then back to the documents
-    of_node = written(labelled.join(least, "component").select("node", "class_id"), "neardup-classes")
-    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    of_node = written(labelled.join(least, "component").select("node", "class_id", "kept_node"), "neardup-classes")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("kept_node"))
+    return signed.select("doc_id", "node").join(of_node, "node").select("doc_id", "node", "class_id", kept.alias("is_kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs without all but one of each class, with their columns unchanged.
+    """One row of docs for each class, with its columns unchanged: that of the least doc_id.
 
     Rows without a doc_id stay, but for equal texts among themselves.
     """
-    kept = classes(docs).where("is_kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    kept = classes(docs).where("is_kept OR doc_id IS NULL").select(F.col("doc_id").alias("_kept_doc"), F.col("node").alias("_kept_node")).distinct()
+    rows = with_node(docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), "text"), "_node")
+    stays = rows.join(kept, (rows["_node"] == kept["_kept_node"]) & rows["_doc"].eqNullSafe(kept["_kept_doc"]), "left_semi")
+    return stays.dropDuplicates(["_doc", "_node"]).select("_row.*")
 
 
 def op7_neardup(spark, sf_dir: str) -> DataFrame:

@@ -132,3 +132,35 @@ def test_repeated_text_in_a_large_bucket(spark):
     rows = spark.createDataFrame([(7, i, i, bytearray(sig[i].tobytes()), bytearray(sets[i].tobytes())) for i in range(len(texts))], schema)
     parts = dict(map(tuple, components(joined(rows)).collect()))
     assert parts == {i: i // 3 * 3 for i in range(len(texts))}
+
+
+def test_null_and_repeated_ids_against_brute_force(spark):
+    rng = random.Random(11)
+    base = [["".join(rng.choices("abcdefgh", k=5)) for _ in range(60)] for _ in range(6)]
+    text = lambda n, *more: " ".join([*base[n], *more])
+    rows = [
+        (1, text(0)), (None, text(0, "more")), (None, text(1)), (None, text(1, "more")), (5, text(2)), (5, text(3)), (3, text(3, "more")),
+        (5, text(4)), (4, text(2, "more")), (5, text(4)), (None, text(5)), (None, text(5)), (5, text(3, "x", "y")),
+    ]
+    out = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    group_of = {text(n, *more): n for n in range(6) for more in ((), ("more",), ("x", "y"))}
+    want = {0: 1, 1: None, 2: 4, 3: 3, 4: 5, 5: None}
+    by_node = {r["node"]: t for r, t in [(r, r["text"]) for r in neardup.with_node(spark.createDataFrame(rows, "doc_id long, text string")).collect()]}
+    found = [(r["doc_id"], group_of[by_node[r["node"]]], r["class_id"]) for r in out.collect()]
+    assert sorted(found, key=repr) == sorted(((d, group_of[t], want[group_of[t]]) for d, t in rows), key=repr)
+    left = deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((group_of[r["text"]], r["doc_id"]) for r in left if r["doc_id"]) == [(0, 1), (2, 4), (3, 3), (4, 5)]
+    assert sorted(group_of[r["text"]] for r in left if r["doc_id"] is None) == [0, 1, 1, 5]  # rows without an id stay
+
+
+def test_dealt_buckets_keep_all_links(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LARGE", 3)
+    rows = corpus(seed=8)
+    out = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute(rows)
+
+
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert {r["doc_id"]: r["class_id"] for r in classes(docs).collect()} == brute(rows)
