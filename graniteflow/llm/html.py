@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page falls into flat blocks of text at its block-level tags. A block's features are its word count and
-link density, those of its neighbours, and where it stands (inside menus and the like, inside an
-article, on a page with an article). A decision tree, grown in numpy on a small table of labelled pages
-below, tells article blocks from the rest.
+link density and those of its neighbours, and where it stands: in an article, in an element whose tag or
+whose class words speak of page furniture, and how much of the page that element holds (a wrapper named
+"has-sidebar" holds nearly all of it). A decision tree, grown in numpy on a small table of labelled pages
+below, tells article blocks from the rest; no word or tag decides by itself.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tags whose content is no text, tags that end a block, tags that hold no article text,
-#: tags of the main part, and words of class, id and role attributes that mark a part as no article text.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "object", "select", "title", "canvas", "math", "audio", "video"}
+#: Tags whose content is no text (the first ones hold code or form text even where they aren't
+#: closed), tags that end a block, tags of page furniture, tags of the main part, and words of class, id and
+#: role attributes: those that name furniture, and those that may name a part of an article too.
+CODE = {"script", "style", "textarea", "title"}
+RAW = CODE | {"noscript", "template", "svg", "iframe", "object", "select", "canvas", "audio", "video"}
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -29,18 +33,18 @@ BLOCK = set(
 APART = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "fieldset", "head", "dir", "label"}
 MAIN = {"article", "main"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|comments?|replies|respond|disqus|cookies?|consent|"
-    r"notice|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|widget|login|signup|search|toolbar|pagination|pager|copyright|legal|"
-    r"complementary|navigation|contentinfo|alert)(?:$|[\s_-])",
+STRONG = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|sponsor\w*|sidebar|menu|nav\w*|breadcrumbs?|footer|masthead|comments?|replies|respond|disqus|cookies?|consent|"
+    r"popup|modal|newsletter|subscribe|subscription|share|sharing|social|login|signup|toolbar|pagination|pager|complementary|navigation|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+WEAK = re.compile(r"(?:^|[\s_-])(?:banner|promo\w*|side|notice|related|recommended|widget|search|copyright|legal|alert)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--(?:.*?--!?>|.*$)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*$|[^<]+|<", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 WORD = re.compile(r"\S+")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart", "in_main", "page_has_main", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "apart_share", "hint", "hint_share", "in_main", "main_share", "heading")
 
 
 @dataclass
@@ -48,17 +52,31 @@ class Block:
     text: str
     words: int
     linked: int
-    apart: bool
+    apart: int  # number of the outermost element of furniture that it is in, 0 for none
+    hint: int  # number of the element whose class words hint at furniture, 0 for none
+    kind: int  # 2: its words name furniture, 1: they may, 0: no hint
     main: bool
     heading: bool
 
 
+class Open(NamedTuple):
+    """An open element; apart and hint as in Block, the last two its own marks."""
+
+    tag: str
+    apart: int = 0
+    hint: int = 0
+    main: bool = False
+    own_apart: int = 0
+    own_hint: int = 0
+
+
 def blocks_of(page: str) -> list[Block]:
     """The flat blocks of a page, in order, without empty ones."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, apart, main, marked apart itself
+    stack: list[Open] = []
+    kinds = [0]  # of each numbered element: 2, 1 or, for furniture tags, 0
     parts: list[str] = []
-    linked, anchors, apart, main, heading = 0, 0, False, False, False
+    linked, anchors, top, heading = 0, 0, Open(""), False
 
     def close() -> None:
         nonlocal linked
@@ -66,10 +84,19 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
                 words = text.count(" ") + 1
-                out.append(Block(text, words, min(linked, words), apart, main, heading))
+                out.append(Block(text, words, min(linked, words), top.apart, top.hint, kinds[top.hint], top.main, heading))
             parts.clear()
         linked = 0
 
+    def push(tag: str, own_apart: int, own_hint: int) -> None:
+        outer = stack[-1] if stack else Open("")
+        hint = own_hint if kinds[own_hint] > kinds[outer.hint] else outer.hint
+        stack.append(Open(tag, outer.apart or own_apart, hint, outer.main or tag in MAIN, own_apart, own_hint))
+
+    def numbered(kind: int) -> int:
+        kinds.append(kind)
+        return len(kinds) - 1
+
     at, size = 0, len(page)
     while at < size:
         found = TOKEN.match(page, at)
@@ -86,65 +113,69 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag, ends, rest = tag.lower(), found[1] or found[4], found[3] or found[6] or ""
         if tag in RAW and not ends:
-            if tag != "title" or not main:
-                stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-                at = stop.end() if stop else size
+            if tag != "title" or not top.main:
                 parts.append(" ")
+                if tag in CODE or not rest.rstrip().endswith("/"):
+                    stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+                    at = stop.end() if stop else size if tag in CODE else at  # an element that is never closed loses its tag alone
             continue
         if tag == "a":
             anchors = 0 if ends else 1
         elif tag == "br":
             parts.append(" ")
-        if tag not in BLOCK and tag not in APART and not (rest and tag not in VOID) and not any(x[0] == tag for x in stack):
+        if tag not in BLOCK and tag not in APART and not (rest and tag not in VOID) and not any(x.tag == tag for x in stack):
             continue  # an inline tag that marks nothing; one whose name is open counts, so that each closing tag finds its own
         if tag in BLOCK:
             close()
             anchors = 0 if tag != "a" and ends else anchors
         if ends:
             for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == tag:
-                    if tag in BLOCK or tag in APART:
-                        del stack[n:]
-                        break
+                if stack[n].tag == tag:
                     above = stack[n + 1 :]
                     del stack[n:]
-                    if any(x[0] in BLOCK for x in above):  # blocks opened inside go on, without the inline tag's mark
-                        for name, _, within, own in above:
-                            stack.append((name, bool(stack and stack[-1][1] and name not in MAIN) or own, within, own))
+                    if tag not in BLOCK and tag not in APART and any(x.tag in BLOCK for x in above):
+                        for x in above:  # blocks opened inside go on, without the inline tag's marks
+                            push(x.tag, x.own_apart, x.own_hint)
                     break
         elif tag not in VOID:
-            if tag == "p" and stack and stack[-1][0] == "p":
+            if tag == "p" and stack and stack[-1].tag == "p":
                 stack.pop()
-            inner = stack[-1] if stack else ("", False, False, False)
-            marked = tag in APART or (tag == "header" and not inner[2])
-            if rest and tag not in MAIN and tag not in ("html", "body"):
-                marked = marked or any(HINT.search(x.strip("\"'")) for x in NAMES.findall(rest)) or bool(HIDDEN.search(rest))
-            inside = tag in MAIN
-            stack.append((tag, (inner[1] and not inside) or marked, inner[2] or inside, marked))
-        top = stack[-1] if stack else ("", False, False, False)
-        if tag not in BLOCK and (top[1] != apart):
+            apart = tag in APART or (tag == "header" and not (stack and stack[-1].main)) or bool(rest and HIDDEN.search(rest))
+            names = [x.strip("\"'") for x in NAMES.findall(rest)] if rest and tag not in ("html", "body") else []
+            kind = 2 if any(map(STRONG.search, names)) else 1 if any(map(WEAK.search, names)) else 0
+            push(tag, numbered(0) if apart else 0, numbered(kind) if kind else 0)
+        now = stack[-1] if stack else Open("")
+        if tag not in BLOCK and (now.apart, now.hint) != (top.apart, top.hint):
             close()
-        apart, main = top[1], top[2]
-        heading = bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
+        top = now
+        heading = top.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     close()
     return out
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """A row of FEATURES for each block; before the first and after the last stand blocks without words."""
+    """A row of FEATURES for each block; before the first and after the last stand blocks without words.
+
+    Word counts go in as the floor of their logarithm to base 2 of one more, 6 at most, and shares and link
+    densities in tenths, so that the tree can't learn single numbers. A share is that of the page's words in
+    the element that a block is marked by, rounded up.
+    """
     n = len(blocks)
     words, links = np.zeros(n + 2), np.zeros(n + 2)
     words[1:-1] = [b.words for b in blocks]
-    links[1:-1] = [b.linked / b.words for b in blocks]
-    flags = np.array([(b.apart, b.main, b.heading) for b in blocks], float).reshape(n, 3)
-    has_main = float(flags[:, 1].any())
-    return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], flags[:, 0], flags[:, 1], np.full(n, has_main), flags[:, 2]])
+    links[1:-1] = np.round([b.linked / b.words for b in blocks], 1)
+    size = np.minimum(np.floor(np.log2(words + 1)), 6)
+    apart, hint, kind, main, heading = np.array([(b.apart, b.hint, b.kind, b.main, b.heading) for b in blocks], int).reshape(n, 5).T
+    total = max(words.sum(), 1)
+    within = lambda number: np.where(number > 0, np.ceil(np.bincount(number, words[1:-1], minlength=1)[number] / total * 10) / 10, 0.0)
+    main_share = np.full(n, np.ceil(words[1:-1] @ main / total * 10) / 10)
+    return np.column_stack([size[1:-1], links[1:-1], size[:-2], links[:-2], size[2:], links[2:], within(apart), kind, within(hint), main, main_share, heading])
 
 
 class Tree:
     """A binary decision tree grown by the Gini index, held in arrays."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 2):
         self.feature, self.cut, self.low, self.high, self.share = [], [], [], [], []
         self._grow(x, y.astype(float), depth, least)
         self.feature, self.cut, self.low, self.high, self.share = map(np.array, (self.feature, self.cut, self.low, self.high, self.share))
@@ -184,36 +215,89 @@ class Tree:
         return self.share[node]
 
 
-def labelled_pages() -> list[tuple[str, list[int]]]:
+def labelled_pages(pages: int = 600, seed: int = 5) -> list[tuple[str, list[int]]]:
     """The small labelled table: pages put together from parts, and for each of their blocks whether it is article text.
 
-    A part is (markup, labels). Parts that are no article text come before, inside and after articles of
-    short, middling and long paragraphs, with and without an article element.
+    A part is (markup, labels). Sizes, links, class names and places vary: two thirds of the pages have an
+    article element; wrappers may be named after furniture or be a form; furniture may have telling class
+    words, neutral ones or none; articles hold short and long paragraphs, lists, tables, captions, link-rich
+    passages and paragraphs whose class words might name furniture.
     """
-    say = lambda n: " ".join(["word"] * n) + "."
-    link = lambda n: f'<a href="/x">{say(n)}</a>'
-    menu = "<nav><ul>" + "".join(f"<li>{link(n)}</li>" for n in (1, 1, 2, 1, 3)) + "</ul></nav>", [0] * 5
-    bare_menu = "<ul>" + "".join(f"<li>{link(n)}</li>" for n in (1, 2, 1, 2)) + "</ul>", [0] * 4
-    advert, long_advert = (f'<div class="ad">{say(9)}</div>', [0]), (f'<div class="advert"><p>{say(40)}</p></div>', [0])
-    side = f'<aside><h3>{say(2)}</h3><p>{say(25)}</p><p>{link(6)}</p></aside>', [0, 0, 0]
-    notice, form = (f'<div id="cookie-notice"><p>{say(30)}</p></div>', [0]), (f"<form><label>{say(2)}</label><p>{say(12)}</p></form>", [0, 0])
-    top = f"<header><h2>{say(3)}</h2><p>{say(7)}</p></header>", [0, 0]
-    foot, bare_foot = (f"<footer>{say(12)}</footer>", [0]), (f"<div>{say(3)} {link(2)} {link(2)}</div>", [0])
-    talk = f'<section class="comments"><h3>{say(1)}</h3><p>{say(18)}</p><p>{say(60)}</p></section>', [0, 0, 0]
-    prose = lambda *sizes: ("".join(f"<p>{say(n)}</p>" for n in sizes), [1] * len(sizes))
-    head = f"<h1>{say(8)}</h1>", [1]
-    more = f"<p>{link(5)} {link(4)}</p>", [0]
-    wrap = lambda tag, *parts: (f"<{tag}>" + "".join(p for p, _ in parts) + f"</{tag}>", [x for _, y in parts for x in y])
-    pages = []
-    for sizes in ((3, 1, 2), (5, 60, 7), (120, 40, 200), (14, 2, 33, 90), (1,), (25, 25, 4, 300, 9), (48, 12)):
-        for inner in ((head, prose(*sizes)), (head, prose(*sizes[:1]), advert, prose(*sizes[1:])), (prose(*sizes), talk), (head, prose(*sizes), side), (head, notice, prose(*sizes), form)):
-            article = wrap("article", *inner)
-            for before, after in (((menu, advert), (foot,)), ((top, menu, long_advert), (side, foot)), ((notice,), (talk, form, foot)), ((), ())):
-                pages.append([*before, article, *after])
-    for sizes in ((60, 80, 30), (120, 40, 200), (25, 45, 300, 22)):
-        for before, after in (((bare_menu,), (more, bare_foot)), ((menu, advert), (foot,)), ((top, bare_menu), (side, bare_foot)), ((notice, menu), (talk, form, foot))):
-            pages.append([*before, wrap("div", prose(*sizes)), *after])
-    return [("".join(p for p, _ in parts), [x for _, y in parts for x in y]) for parts in pages]
+    rng = np.random.default_rng(seed)
+    some = lambda low, high: int(rng.integers(low, high + 1))
+    one = lambda values: values[some(0, len(values) - 1)]
+    say = lambda low, high=0: " ".join(["word"] * some(low, high or low)) + "."
+    link = lambda low, high=0: f'<a href="/x">{say(low, high)}</a>'
+    named = lambda names: (lambda c: f' class="{c}"' if c else "")(one(names))
+    wrappers = ["layout has-sidebar", "page with-menu", "wrap", "", "has-comments"]
+    neutral = ["", "", "c1", "row", "box-3", "content", "inner", "col-8", "text"]
+    maybe = lambda part, chance: [part()] if rng.random() < chance else []
+    wrap = lambda tag, parts, attributes="": (f"<{tag}{attributes}>" + "".join(p for p, _ in parts) + f"</{tag}>", [x for _, y in parts for x in y])
+
+    def size() -> tuple[int, int]:  # of a paragraph: short, middling or long
+        return one([(1, 6), (8, 40), (8, 40), (40, 120), (40, 120), (120, 300)])
+
+    def listed(count: int, low: int, high: int) -> tuple[str, list[int]]:
+        return "<ul>" + "".join(f"<li>{link(low, high)}</li>" for _ in range(count)) + "</ul>", [0] * count
+
+    furniture = {
+        "menu": lambda: wrap(one(["nav", "nav", "div"]), [listed(some(3, 9), 1, 3)], named([*neutral, "menu", "main-nav"])),
+        "inline menu": lambda: (f"<div{named(neutral)}>" + " | ".join(link(1, 2) for _ in range(some(3, 8))) + "</div>", [0]),
+        "advert": lambda: (f"<div{named(['ad', 'advert', 'sponsored-box', 'ad-slot'])}>{say(4, 45)}</div>", [0]),
+        "aside": lambda: ("<aside" + named(neutral) + f"><h3>{say(1, 3)}</h3><p>{say(5, 60)}</p><p>{link(3, 8)}</p></aside>", [0, 0, 0]),
+        "sidebar": lambda: (f'<div class="sidebar"><h3>{say(1, 3)}</h3><p>{say(5, 60)}</p>{listed(3, 2, 6)[0]}</div>', [0] * 5),
+        "notice": lambda: (f'<div id="cookie-notice"><p>{say(8, 60)}</p></div>', [0]),
+        "form": lambda: (f"<form><label>{say(1, 3)}</label><p>{say(3, 30)}</p><button>{say(1)}</button></form>", [0, 0, 0]),
+        "top": lambda: (f"<header><h2>{say(1, 5)}</h2><p>{say(3, 12)}</p></header>", [0, 0]),
+        "foot": lambda: (f"<footer>{say(3, 30)}</footer>", [0]),
+        "bare foot": lambda: (f"<div{named(neutral)}>{say(2, 5)} {link(1, 3)} {link(1, 3)} {link(1, 2)}</div>", [0]),
+        "related": lambda: (f"<div{named([*neutral, 'related'])}><h3>{say(1, 3)}</h3>{listed(4, 3, 9)[0]}</div>", [0] * 5),
+        "share": lambda: (f"<div{named(['share', 'social', 'related'])}>{link(1, 2)} {link(1, 2)} {say(1)}</div>", [0]),
+        "comments": lambda: (f'<section class="{one(["comments", "comment-list", "replies"])}"><h3>{say(1, 2)}</h3>' + (lambda n, t: "".join(f"<{t}>{say(2, 80)}</{t}>" for _ in range(n)) + "</section>")(3, one(["p", "div", "article"])), [0] * 4),
+        "promo": lambda: (f"<div{named(['promo', 'widget', 'banner', 'notice'])}>{say(2, 8)} {link(3, 8)}</div>", [0]),
+    }
+
+    def prose(bare: bool) -> list[tuple[str, list[int]]]:
+        kinds = {
+            "plain": lambda: (f"<p>{say(*size())}</p>", [1]),
+            "linked": lambda: (f"<p>{say(10, 60)} {link(1, 6)} {say(3, 30)}</p>", [1]),
+            "legal": lambda: (f"<p{named(['legal', 'alert', 'notice', 'side-note'])}>{say(8, 50)}</p>", [1]),
+            "quote": lambda: (f"<blockquote>{say(4, 40)}</blockquote>", [1]),
+            "heading": lambda: (f"<h2>{say(1, 8)}</h2><p>{say(12, 90)}</p>", [1, 1]),
+        }
+        rare = {
+            "items": lambda: (f"<ul><li>{say(2, 20)}</li><li>{say(2, 20)}</li><li>{say(2, 9)} {link(1, 3)}</li></ul>", [1, 1, 1]),
+            "cells": lambda: (f"<table><tr><td>{say(1, 3)}</td><td>{say(1, 3)}</td></tr></table>", [1, 1]),
+            "caption": lambda: (f"<figure><figcaption>{say(2, 15)}</figcaption></figure>", [1]),
+            "whole link": lambda: (f"<p>{link(2, 9)}</p>", [1]),
+        }
+        out = [kinds[one(["plain", "plain", "plain", *kinds])]() for _ in range(some(1, 9))]
+        if not bare:
+            out += [rare[one(list(rare))]() for _ in range(some(0, 2))]
+            out = [out[i] for i in rng.permutation(len(out))]
+        return [(f"<h1>{say(2, 12)}</h1>", [1]), *out] if rng.random() < 0.8 else out
+
+    def page(bare: bool) -> tuple[str, list[int]]:
+        body = prose(bare)
+        if bare:
+            body = [(f"<p>{say(30, 120)}</p>", [1]) if not i else part for i, part in enumerate(body)]
+        for name in ("advert", "aside", "share", "notice", "form", "promo"):
+            for part in maybe(furniture[name], 0.2):
+                body.insert(some(1, len(body)), part)
+        tail = maybe(furniture["comments"], 0.3)
+        inner = [wrap("div" if bare else one(["article", "article", "main"]), [*body, *(tail if rng.random() < 0.5 else [])], named(neutral))]
+        tail = tail if len(inner[0][1]) == sum(len(y) for _, y in body) else []
+        before = [p for name in ("top", "menu", "inline menu", "advert", "notice") for p in maybe(furniture[name], 0.5)]
+        after = [p for name in ("related", "sidebar", "aside", "form", "bare foot", "foot") for p in maybe(furniture[name], 0.4)]
+        parts = [*before, *inner, *tail, *after]
+        if rng.random() < 0.3:
+            parts = [wrap(one(["div", "div", "form"]), parts, named(wrappers))]
+        return wrap("body", parts)
+
+    def note() -> tuple[str, list[int]]:  # a few paragraphs and a bare list of links
+        return wrap("div", [*maybe(lambda: (f"<h1>{say(2, 12)}</h1>", [1]), 0.6), *[(f"<p>{say(15, 150)}</p>", [1]) for _ in range(some(1, 4))], *maybe(lambda: listed(some(2, 6), 1, 4), 0.6)], named(wrappers))
+
+    return [note() if n % 9 == 2 else page(n % 3 == 2) for n in range(pages)]
 
 
 @lru_cache(maxsize=1)
@@ -245,8 +329,9 @@ def extract(pages: DataFrame) -> DataFrame:
     space inside a block is one space and a line-break tag counts as white space.
     """
 
+    tree = default_tree()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = default_tree()
         for b in batches:
             texts = [main_text(page.as_py(), tree) for page in b["html"]]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
