@@ -13,7 +13,8 @@ likelihood on stretches of those labelled words: around tagged words, drawn at r
 round, around plain words that the first took for toxic.
 
 Application: the tasks look up each distinct word's potential in a bounded memo, and run the recursions
-over blocks of words of all documents of a batch at once.
+over blocks of words of all documents of a batch at once, a bounded number of blocks at a time; batches are
+cut by their texts' length.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graniteflow.llm.common import held_out
 
-#: Size of a worker's memo, and words in a block of the recursions.
-MEMO, BLOCK = 300_000, 64
+#: Size of a worker's memo, words in a block of the recursions, blocks at a time, code points of a batch's texts.
+MEMO, BLOCK, STRETCH, BATCH = 300_000, 64, 2048, 2_000_000
 WORD = re.compile(r"[^\W_]+")
 THRESHOLD = 0.3
 
@@ -41,8 +43,14 @@ def features(word: str) -> list[str]:
     return ["=" + word, *[word[:k] for k in range(3, min(n, 9))], "-" + word[-3:]]
 
 
+def lowered(text: str) -> str:
+    """text in lower case at the same offsets; a letter that would become two stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return WORD.findall(lowered(text))
 
 
 class Field:
@@ -60,46 +68,49 @@ class Field:
 
     def marginals(self, emission: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Each word's probability of tag 1. emission: all documents' words one after the other; starts: where each begins, ascending, none empty."""
-        return chain(emission, starts, self.step)[0]
+        return chain(emission, starts, self.step, pairs=False)[0]
 
 
-def chain(emission: np.ndarray, starts: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of tag 1 and of each pair (previous tag, tag), by forward-backward over all documents at once.
+def chain(emission: np.ndarray, starts: np.ndarray, step: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of tag 1 and, if asked, of each pair (previous tag, tag), by forward-backward over all documents at once.
 
     A document is cut into blocks of BLOCK words. The vector of messages is carried through a block as a
     2x2 matrix, so that the blocks of all documents run side by side; then block to block; then inside.
+    STRETCH blocks are worked on at a time: beyond them a word takes some tens of bytes.
     """
     n = len(emission)
     if not n:
         return np.zeros(0), np.zeros((0, 2, 2))
     ends = np.append(starts[1:], n)
-    sizes = ends - starts
-    counts = -(-sizes // BLOCK)
+    counts = -(-(ends - starts) // BLOCK)
     first_block = np.concatenate([[0], np.cumsum(counts)[:-1]])
     blocks = int(counts.sum())
     within = np.arange(blocks) - np.repeat(first_block, counts)
     at = np.repeat(starts, counts) + within * BLOCK
     length = np.minimum(BLOCK, np.repeat(ends, counts) - at)
-    slot = at[:, None] + np.arange(BLOCK)
-    real = np.arange(BLOCK) < length[:, None]
-    e = np.where(real, emission[np.minimum(slot, n - 1)], 0.0)
-    psi = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], -1)  # (block, word, tag)
     move = np.exp(step)
     head = within == 0  # a document's first block: its first word has no word before it
-
-    def through(order: range, forward: bool) -> np.ndarray:
-        """The matrix that each block applies to the messages."""
-        m = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
-        for t in order:
-            a = np.broadcast_to(move, (blocks, 2, 2)) * psi[:, t, None, :]
+    stretches = [slice(k, min(k + STRETCH, blocks)) for k in range(0, blocks, STRETCH)]
+
+    def words(part: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Potentials (block, word, tag) of some blocks, and which of their places hold words."""
+        slot = at[part, None] + np.arange(BLOCK)
+        real = np.arange(BLOCK) < length[part, None]
+        e = np.where(real, emission[np.minimum(slot, n - 1)], 0.0)
+        return np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], -1), real
+
+    whole = np.empty((blocks, 2, 2))  # the matrix that each block applies to the messages
+    for part in stretches:
+        psi, real = words(part)
+        m = np.broadcast_to(np.eye(2), (len(psi), 2, 2)).copy()
+        for t in range(BLOCK):
+            a = move * psi[:, t, None, :]
             if t == 0:
-                a = np.where(head[:, None, None], np.eye(2) * psi[:, 0, None, :], a)
-            m2 = m @ a if forward else a @ m
-            m2 /= m2.sum((1, 2), keepdims=True)
-            m = np.where(real[:, t, None, None], m2, m)
-        return m
-
-    whole = through(range(BLOCK), True)
+                a = np.where(head[part, None, None], np.eye(2) * psi[:, 0, None, :], a)
+            after = m @ a
+            after /= after.sum((1, 2), keepdims=True)
+            m = np.where(real[:, t, None, None], after, m)
+        whole[part] = m
     enter, leave = np.ones((blocks, 2)), np.ones((blocks, 2))
     most = int(counts.max())
     alive = np.arange(len(starts))
@@ -114,28 +125,38 @@ def chain(emission: np.ndarray, starts: np.ndarray, step: np.ndarray) -> tuple[n
         v = (whole[b + 1] @ leave[b + 1][:, :, None])[:, :, 0]
         leave[b] = v / v.sum(1, keepdims=True)
 
-    alpha, beta = np.empty((blocks, BLOCK, 2)), np.empty((blocks, BLOCK, 2))
-    v = enter
-    for t in range(BLOCK):
-        moved = v @ move
-        if t == 0:
-            moved = np.where(head[:, None], 1.0, moved)
-        v = np.where(real[:, t, None], moved * psi[:, t], v)
-        v = v / v.sum(1, keepdims=True)
-        alpha[:, t] = v
-    v = leave
-    pairs = np.empty((blocks, BLOCK, 2, 2))
-    for t in range(BLOCK - 1, -1, -1):
-        beta[:, t] = v
-        u = (psi[:, t] * v) @ move.T
-        before = alpha[:, t - 1] if t else enter
-        pairs[:, t] = before[:, :, None] * move * (psi[:, t] * v)[:, None, :]
-        v = np.where(real[:, t, None], u / u.sum(1, keepdims=True), v)
-    # leave carries a block's first transition too, as ``whole`` does
-    gamma = alpha * beta
-    gamma /= gamma.sum(2, keepdims=True)
-    pairs /= pairs.sum((2, 3), keepdims=True)
-    return gamma[real][:, 1], pairs[real]
+    marginal, both = np.empty(n), []
+    for part in stretches:
+        psi, real = words(part)
+        size = len(psi)
+        alpha, beta = np.empty((size, BLOCK, 2)), np.empty((size, BLOCK, 2))
+        v = enter[part]
+        for t in range(BLOCK):
+            moved = v @ move
+            if t == 0:
+                moved = np.where(head[part, None], 1.0, moved)
+            v = np.where(real[:, t, None], moved * psi[:, t], v)
+            v = v / v.sum(1, keepdims=True)
+            alpha[:, t] = v
+        v = leave[part]
+        pair = np.empty((size, BLOCK, 2, 2)) if pairs else None
+        for t in range(BLOCK - 1, -1, -1):
+            beta[:, t] = v
+            onward = psi[:, t] * v
+            if pairs:
+                before = alpha[:, t - 1] if t else enter[part]
+                pair[:, t] = before[:, :, None] * move * onward[:, None, :]
+            u = onward @ move.T
+            v = np.where(real[:, t, None], u / u.sum(1, keepdims=True), v)
+        # leave carries a block's first transition too, as ``whole`` does
+        gamma = alpha * beta
+        gamma /= gamma.sum(2, keepdims=True)
+        low = int(at[part.start])
+        marginal[low : low + int(length[part].sum())] = gamma[real][:, 1]
+        if pairs:
+            pair /= pair.sum((2, 3), keepdims=True)
+            both.append(pair[real])
+    return marginal, np.concatenate(both) if pairs else np.zeros((0, 2, 2))
 
 
 def summaries(marginal: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -238,7 +259,7 @@ def fit(texts: list[str], toxic: np.ndarray, counts: np.ndarray | None = None, m
     counts: how many labelled rows each text stands for (the inverse of its drawing chance), 1 unless given.
     most_words: how many words each of the three kinds of stretches may have.
     """
-    counts = np.ones(len(texts)) if counts is None else counts / counts.mean()
+    counts = np.ones(len(texts)) if counts is None or not len(counts) else counts / counts.mean()
     field, data = Field(), Corpus(texts, np.asarray(toxic), counts)
     if not len(data.words) or data.toxic.min() == data.toxic.max():
         rate = float(np.mean(toxic)) if len(toxic) else 0.0
@@ -275,15 +296,17 @@ def fit(texts: list[str], toxic: np.ndarray, counts: np.ndarray | None = None, m
         wrong = np.flatnonzero((emission > -1.5) & ~tag & (data.toxic[data.of_doc] == 0))
         centres = np.concatenate([centres, draw(wrong)])
     field.weight = {f: float(w) for f, w in zip(data.names, weight, strict=True) if abs(w) > 0.02}
-    marginal = chain(emission, data.starts, field.step)[0]
+    marginal = field.marginals(emission, data.starts)
     field.calibration = fit_logistic(summaries(marginal, data.starts), data.toxic, counts=data.counts)
     return field
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, most: int = 700) -> tuple[list[str], np.ndarray, np.ndarray]:
+def training_texts(docs: DataFrame, labels: DataFrame, most: int = 700, longest: int = 200_000) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``most`` toxic and ``most`` other labelled texts at most, drawn by hash over all labelled rows.
 
-    Of each text its label and how many labelled rows it stands for: the inverse of its class's drawing chance.
+    Of each text its label and how many labelled rows it stands for: the inverse of its class's drawing
+    chance. A doc_id on several rows counts with one of its texts; texts of over ``longest`` code points
+    train nothing. So ``most`` and ``longest`` bound what reaches the driver.
     """
     labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("_toxic")).groupBy("doc_id").agg(F.max("_toxic").alias("_toxic"))
     counts = {r["_toxic"]: r["count"] for r in labels.groupBy("_toxic").count().collect()}  # two rows
@@ -293,8 +316,8 @@ def training_texts(docs: DataFrame, labels: DataFrame, most: int = 700) -> tuple
     if not drawn:
         return [], np.zeros(0), np.zeros(0)
     sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, _toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text IS NOT NULL").toPandas()
-    rows = rows.sort_values(["doc_id", "text"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where((F.col("text").isNotNull()) & (F.char_length("text") <= longest))
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_toxic").alias("_toxic")).toPandas().sort_values("doc_id")
     stands = {c: max(1.0, n / most) for c, n in counts.items()}
     return rows["text"].tolist(), rows["_toxic"].to_numpy(float), rows["_toxic"].map(stands).to_numpy(float)
 
@@ -338,12 +361,9 @@ def spans_of(text: str, marginal: np.ndarray, threshold: float = 0.5) -> list[di
     """Runs of words whose marginals pass the threshold: start and end in code points, and the largest marginal."""
     if not len(marginal) or marginal.max() < threshold:
         return []
-    low = text.lower()
-    if len(low) != len(text):  # a letter that becomes two in lower case: keep offsets by lowering letter by letter
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: list[dict] = []
     last = -2
-    for n, (found, p) in enumerate(zip(WORD.finditer(low), marginal, strict=False)):
+    for n, (found, p) in enumerate(zip(WORD.finditer(lowered(text)), marginal, strict=True)):
         if p >= threshold:
             if last == n - 1:
                 out[-1] |= {"end": found.end(), "marginal": max(out[-1]["marginal"], float(p))}
@@ -369,8 +389,11 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(field)
         for whole in batches:
-            for at in range(0, max(1, whole.num_rows), 256):
-                b = whole.slice(at, 256)
+            sizes = pc.fill_null(pc.utf8_length(whole["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = np.cumsum(sizes) // BATCH  # rows whose texts begin in the same stretch of code points
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), whole.num_rows] if whole.num_rows else [0, 0]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                b = whole.slice(low, high - low)
                 texts = [t or "" for t in b["text"].to_pylist()]
                 p, marginals = scorer(texts)
                 spans = [spans_of(t, m) for t, m in zip(texts, marginals, strict=True)]

@@ -99,3 +99,48 @@ def test_scores_do_not_depend_on_the_draw(spark):
         out = score(docs, fit(*training_texts(docs, labels, most))).select("doc_id", "score").toPandas()
         marked = out["doc_id"] % 10 < 2
         assert abs(out["score"].mean() - 0.1) < 0.03 and abs(out["score"][marked].mean() - 0.5) < 0.15
+
+
+def test_stretches_give_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [1, 700, 64, 65, 3, 130]
+    e, starts, step = rng.normal(0, 2, sum(sizes)), np.cumsum([0, *sizes])[:-1], np.array([[0.5, -0.7], [-0.2, 0.9]])
+    want = chain(e, starts, step)
+    monkeypatch.setattr(toxicity, "STRETCH", 2)
+    marginal, pairs = chain(e, starts, step)
+    assert np.allclose(marginal, want[0]) and np.allclose(pairs, want[1])
+    assert np.allclose(chain(e, starts, step, pairs=False)[0], want[0])
+
+
+def test_offsets_after_a_letter_of_two(spark, field):
+    (row,) = score(spark.createDataFrame([(1, "İstanbul an villain er", None, None)], SCHEMA), field).collect()
+    assert [row["text"][s["start"] : s["end"]] for s in row["spans"]] == ["villain"]
+
+
+def test_scores_against_plain_loops(spark, field, monkeypatch):
+    """Every document's score against forward-backward word by word in plain Python, at batches of few texts."""
+    monkeypatch.setattr(toxicity, "BATCH", 3000)
+    docs, _ = corpus(120, seed=6)
+    move = np.exp(field.step)
+    for r in score(spark.createDataFrame(docs, SCHEMA), field).collect():
+        words = [w for w in "".join(c if c.isalnum() else " " for c in r["text"].lower()).split()]
+        psi = [np.array([1.0, np.exp(field.emission(w))]) for w in words]
+        forward, backward = [psi[0] / psi[0].sum()], [np.ones(2)]
+        for p in psi[1:]:
+            v = (forward[-1] @ move) * p
+            forward.append(v / v.sum())
+        for p in psi[:0:-1]:
+            v = move @ (p * backward[-1])
+            backward.append(v / v.sum())
+        gamma = [a * b / (a @ b) for a, b in zip(forward, backward[::-1], strict=True)]
+        m = np.clip([g[1] for g in gamma], 0, 1)
+        top = min(max(m.max(), 1e-6), 1 - 1e-6)
+        z = field.calibration @ [1, np.log(top / (1 - top)), np.log1p(m.sum())]
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "x" * 500, None, None)] * 50 + [(2, "short", None, None), (2, "other", None, None)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0)], LABELS)
+    assert training_texts(docs, labels, longest=100)[0] == ["other"]
+    assert sorted(training_texts(docs, labels)[0]) == ["other", "x" * 500]
