@@ -29,7 +29,7 @@ from graniteflow.llm.tokens import default_path, encoder
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 4096
-    segments: int = 512
+    segments: int = 4096  # as many as tokens: no limit of its own unless it is set lower
     loss: int = 4096
 
     def vector(self) -> np.ndarray:

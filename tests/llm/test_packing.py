@@ -121,3 +121,14 @@ def test_loss_limit_through_the_dataframe(spark, kind):
             assert p["loss_tokens"] == max(0, at - max(p["start"], bare))
         assert at == len(ids)
     assert sum(r["loss_tokens"] for r in out) < sum(r["length"] for r in out)
+
+
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_short_documents_leave_little_padding(spark, words):
+    rows = spark.createDataFrame([(i, "a " * words) for i in range(6000)], "doc_id long, text string").coalesce(1)
+    out = pack(rows).collect()
+    filled = {}
+    for r in out:
+        filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
+    room = sum(n if n & (n - 1) == 0 else 4096 for n in filled.values())
+    assert room <= 1.01 * sum(filled.values())
