@@ -58,20 +58,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int = 1024, sample:
     sampled keys, the bound of what the driver collects.
 
     Null text counts as no bytes and as an equal of the empty text. A null doc_id is kept. Repeated rows
-    each get a slot. An empty table gives no rows. Other columns are ignored.
+    each get a slot, and a group of them larger than a shard is spread like any other: rows are told apart
+    by a number that the table of keys keeps. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     ranges = max(ranges, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     body = F.coalesce("text", F.lit(""))
     light = written(
         docs.select(
-            "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("key")
+            "doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("key"),
+            F.monotonically_increasing_id().alias("row"),  # written, so it stays what it is when tasks run again
         ),
         "shard-keys",
     )
     total = light.agg(F.sum("size")).first()[0] or 0
     chance = F.col("size") * F.lit(sample / max(total, 1))
-    draw = F.abs(F.xxhash64("doc_id", "key", F.lit("draw")) / F.lit(UNIFORM))
+    draw = F.abs(F.xxhash64("row", F.lit("draw")) / F.lit(UNIFORM))
     drawn = light.where(draw < chance).select("key", F.greatest(chance, F.lit(1.0)).alias("weight")).toPandas()
     bounds = splitters(drawn["key"].to_numpy(np.int64), drawn["weight"].to_numpy(float), ranges)
 
@@ -94,7 +96,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int = 1024, sample:
         by = np.where(place.isin(alone), by_id, by_key).astype(np.int64)
         return pd.Series((by % n).astype(np.int32))
 
-    pieces = ranged.withColumn("piece", piece_of("range", F.xxhash64("key"), F.xxhash64("doc_id", "key")))
+    pieces = ranged.withColumn("piece", piece_of("range", F.xxhash64("key"), F.xxhash64("row")))
     found = pieces.groupBy("range", "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).orderBy("range", "piece").collect()
     units: dict[tuple, float] = {}
     unit_of = lambda r: (r["range"], -1 if r["range"] in whole else r["piece"])
@@ -107,7 +109,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int = 1024, sample:
         plan.append((r["range"], r["piece"], shard, first[shard]))
         first[shard] += r["n"]
     placed = spark.createDataFrame(plan, "range int, piece int, shard int, first long")
-    order = Window.partitionBy("range", "piece").orderBy("key", "doc_id", "size", "text_crc32")
+    order = Window.partitionBy("range", "piece").orderBy("key", "doc_id", "row")
     return (
         pieces.withColumn("place", F.row_number().over(order))
         .join(F.broadcast(placed), ["range", "piece"])  # its rows are bounded by ranges, a parameter

@@ -47,3 +47,18 @@ def test_helpers():
     assert len(splitters(np.zeros(0, np.int64), np.zeros(0), 4)) == 0
     assert 5 in splitters(np.array([5] * 10 + [9]), np.ones(11), 4) and 6 in splitters(np.array([5] * 10 + [9]), np.ones(11), 4)
     assert deal([3, 3, 2, 2, 2], 2) in ([0, 1, 0, 1, 0], [0, 1, 0, 1, 1])
+
+
+def test_repeated_rows_are_spread(spark):
+    out = rows_of(spark, [(1, "same row " * 2, None, None)] * 800 + [(i, f"t{i} " * 5, None, None) for i in range(2, 202)], ranges=64)
+    sizes, slots = Counter(), defaultdict(list)
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert len(out) == 1000 and max(sizes.values()) < 1.1 * min(sizes.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_same_shards_when_read_again(spark):
+    df = shard_by_bytes(spark.createDataFrame([(i % 50, f"t{i % 70}", None, None) for i in range(500)], SCHEMA), ranges=16)
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
