@@ -147,14 +147,15 @@ def segments(spark, path: str) -> DataFrame:
                 if not value.strip():
                     continue
                 head, _, rest = value.partition(END)
-                h = dict(line.split(": ", 1) for line in head.split(CRLF) if ": " in line)
+                lines = (line.partition(":") for line in head.split(CRLF) if ":" in line)
+                h = {name.strip().lower(): text.strip() for name, _, text in lines}  # names are case-insensitive
                 data = rest.encode()
-                size = _whole(h.get("Content-Length"), -1)
-                whole = 0 <= size <= len(data) and "WARC-Type" in h
-                number = _whole(h.get("WARC-Segment-Number"), 0)
+                size = _whole(h.get("content-length"), -1)
+                whole = 0 <= size <= len(data) and "warc-type" in h
+                number = _whole(h.get("warc-segment-number"), 0)
                 out.append(
-                    (h.get("WARC-Segment-Origin-ID") or h.get("WARC-Record-ID"), number, _whole(h.get("WARC-Segment-Total-Length"), -1), h["WARC-Type"] if whole else None,
-                     h.get("WARC-Record-ID"), h.get("WARC-Target-URI"), h.get("WARC-Payload-Digest"), h.get("WARC-Refers-To"), _whole(h.get("X-Payload-Length"), -1), data[: max(size, 0)])
+                    (h.get("warc-segment-origin-id") or h.get("warc-record-id"), number, _whole(h.get("warc-segment-total-length"), -1), h["warc-type"] if whole else None,
+                     h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), _whole(h.get("x-payload-length"), -1), data[: max(size, 0)])
                 )
             yield pd.DataFrame(out, columns=[f.split()[0] for f in FIELDS.split(", ")])
 
@@ -190,7 +191,8 @@ def read_archives(spark, path: str) -> DataFrame:
     problem is null for a sound record, else it says what is wrong (record torn, segments missing, wrong total
     length, bad framing); the row is kept. A torn record, be it a continuation, has a row of its own with a null
     type, and counts as missing among its page's segments. Segments that come twice with one number count once. A revisit has
-    an empty payload and the length that it states.
+    an empty payload and the length that it states. Read are archives with one version line, ``WARC/1.1``, and
+    UTF-8 blocks; a payload that holds that line is taken for two records, of which the first is torn.
     """
     found = segments(spark, path)
     names = [f.split()[0] for f in PAGES.split(", ")]
@@ -211,7 +213,11 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def page_table(spark, path: str) -> DataFrame:
-    """The archives' records as op6 asks: digest and length of the decoded payload, revisits with what they state."""
+    """The archives' records as op6 asks: length and digest of the decoded payload, a revisit's those of the response it refers to.
+
+    A record with a problem, a payload unlike its digest, and a revisit whose response isn't there with the
+    digest it states raise ValueError.
+    """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -226,7 +232,14 @@ def page_table(spark, path: str) -> DataFrame:
                  "record_type": f["record_type"], "refers_to": pd.array([number_in(r) for r in f["refers"]], "Int64")}
             )
 
-    return read_archives(spark, path).mapInPandas(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # the light columns of each record, kept: payloads are decoded once, and the join below sees plain exchanges
+    light = written(read_archives(spark, path).mapInPandas(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "warc-pages")
+    revisits, responses = (light.where(F.col("record_type") == k) for k in ("revisit", "response"))
+    wanted = revisits.select("refers_to", "payload_digest").distinct()
+    known = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").join(wanted, ["refers_to", "payload_digest"], "left_semi").distinct()
+    missing = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))).cast("long")
+    solved = revisits.drop("payload_bytes").join(written(known, "warc-known"), ["refers_to", "payload_digest"], "left")
+    return responses.unionByName(solved.withColumn("payload_bytes", F.coalesce("payload_bytes", missing)))
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:

@@ -81,3 +81,20 @@ def test_torn_records_are_given_out(spark, tmp_path):
     assert bytes(out["sound"]["payload"]) == b"body" and out["short"]["record_type"] is None
     with pytest.raises(Exception, match="record is torn"):
         page_table(spark, f"file://{tmp_path}").collect()
+
+
+def test_revisits_are_resolved(spark, tmp_path):
+    def record(name, kind, digest, block="", more=""):
+        return f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-RECORD-ID: <urn:page:{name}:x>\r\nWARC-Payload-Digest: sha1:{digest}\r\n{more}content-length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+
+    digest = base64.b32encode(hashlib.sha1(b"body").digest()).decode()
+    whole = record(5, "response", digest, "HTTP/1.1 200 OK\r\n\r\nbody")
+    refer = "WARC-Refers-To: <urn:page:{}>\r\n".format
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.warc").write_text(whole + record(3, "revisit", digest, "HTTP/1.1 200 OK\r\n\r\n", refer(5)), newline="")
+    assert sorted(map(tuple, page_table(spark, f"file://{tmp_path}/good").collect())) == [(3, 4, digest, "revisit", 5), (5, 4, digest, "response", None)]
+    for n, (to, sha) in enumerate([(6, digest), (5, "OTHER")]):
+        (tmp_path / f"bad{n}").mkdir()
+        (tmp_path / f"bad{n}" / "a.warc").write_text(whole + record(3, "revisit", sha, "", refer(to)), newline="")
+        with pytest.raises(Exception, match="no response for the revisit of page 3"):
+            page_table(spark, f"file://{tmp_path}/bad{n}").collect()
