@@ -4,7 +4,8 @@ Writing: each task fills archives of bounded size under the folder and the drive
 Reading: the plan lists the archives and cuts them into byte ranges; a task reads the central directory
 of its archive, takes the members whose header lies in its range and streams their bytes in Arrow
 batches. A member that can't be read is tried again by its offset, with the archive opened anew; one that
-stays unreadable gives a row with ``error`` and leaves the others alone.
+stays unreadable gives a row with ``error`` and leaves the others alone. So does an archive whose directory
+stays unreadable: one row, without a member, for the span at its beginning.
 
 Files are reached with pyarrow's file systems, so local and remote folders do alike.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zipfile
@@ -32,6 +34,7 @@ from graniteflow.llm.common import fresh_path
 #: Samples in a row of an image; the padding of payloads follows from it.
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
+NAME = re.compile(r"(None|-?\d{1,19})/(\d{1,18})\.png")
 FORMAT = "media_archive"
 
 
@@ -131,9 +134,16 @@ class MediaReader(DataSourceReader):
         if not span.path:
             return
         system, _ = fs.FileSystem.from_uri(self.folder)
-        opened = system.open_input_file(span.path)
-        members = [i for i in zipfile.ZipFile(opened).infolist() if span.low <= i.header_offset < span.high]
-        rows, held = [], 0
+        rows, held, opened, members = [], 0, None, []
+        for _ in range(1 + self.retries):
+            try:
+                opened = system.open_input_file(span.path)
+                members, error = [i for i in zipfile.ZipFile(opened).infolist() if span.low <= i.header_offset < span.high], None
+                break
+            except (OSError, ValueError, struct.error, zipfile.BadZipFile, NotImplementedError) as e:
+                error = f"{type(e).__name__}: {e}"
+        if error and not span.low:
+            rows.append((None, span.path, None, None, error))
         for info in members:
             media, error = None, None
             for _ in range(1 + self.retries):
@@ -247,7 +257,8 @@ def media_columns(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each member of the archives under ``folder``: digests and features of the samples read back.
 
     Null text was stored as empty (a row of spaces), a null doc_id is null again, repeated rows have members
-    of their own, an empty folder gives no rows. A member that can't be read or decoded has nulls and ``error``.
+    of their own, an empty folder gives no rows. A member that can't be read or decoded has nulls and ``error``,
+    a member whose name isn't of this module a null doc_id and n_bytes, an unreadable archive one such row.
     """
     spark.dataSource.register(MediaArchive)
 
@@ -255,17 +266,18 @@ def media_columns(spark: SparkSession, folder: str) -> DataFrame:
         for b in batches:
             rows = []
             for name, media, error in zip(b["member"], b["media"], b["error"], strict=True):
-                doc, _, size = name.as_py().removesuffix(".png").partition("/")
-                doc, media, error = (None if doc == "None" else int(doc)), media.as_py(), error.as_py()
+                named = NAME.fullmatch(name.as_py() or "")
+                doc, size = (None if named is None or named[1] == "None" else int(named[1])), named and int(named[2])
+                media, error = media.as_py(), error.as_py()
                 try:
                     if error:
                         raise ValueError(error)
                     samples = decode_image(media)
-                except (ValueError, zlib.error) as e:
-                    rows.append((doc, int(size), None, None, None, None, None, None, str(e)))
+                except (ValueError, zlib.error, struct.error) as e:
+                    rows.append((doc, size, None, None, None, None, None, None, str(e)))
                     continue
                 rows.append(
-                    (doc, int(size), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples), None)
+                    (doc, size, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(samples), None)
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), OUT.types, strict=True)] if rows else [pa.array([], t) for t in OUT.types], schema=OUT)
 

@@ -54,3 +54,19 @@ def test_empty_table(spark):
     folder = fresh_path(spark, "media-empty")
     store(spark.createDataFrame([], SCHEMA), folder)
     assert media_columns(spark, folder).collect() == []
+
+
+def test_damaged_archive_and_foreign_members_leave_the_others(spark):
+    import zipfile
+
+    folder = fresh_path(spark, "media-bad")
+    store(spark.createDataFrame([(i, f"text {i}", "", 0) for i in range(20)], SCHEMA).coalesce(1), folder)
+    local = Path(folder.removeprefix("file://"))
+    (local / "broken.zip").write_bytes(b"PK\x03\x04 no directory here" * 200)
+    with zipfile.ZipFile(local / "foreign.zip", "w") as z:
+        z.writestr("readme.txt", "not an image")
+        z.writestr("77/3.png", encode_image(padded(b"abc")))
+    out = media_columns(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in out if r["error"] is None) == [*range(20), 77]
+    bad = [r for r in out if r["error"]]
+    assert len(bad) == 2 and all(r["doc_id"] is None and r["n_bytes"] is None for r in bad)
