@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from graniteflow.llm import langid
 from graniteflow.llm.common import held_out
 from graniteflow.llm.langid import WINDOW, Network, identify, identify_texts, train_on_fold, windows_of
 
@@ -57,3 +58,37 @@ def test_training_lowers_the_loss():
     before = loss()
     net.fit(windows, target, epochs=40, batch=6, rate=0.01)
     assert loss() < before
+
+
+def test_windows_against_plain_loops():
+    """The network's pass against its definition in plain loops: filters of each width slid over bytes, their largest value, softmax."""
+    rng = np.random.default_rng(4)
+    net = langid.Network(["a", "b", "c"])
+    net.conv *= 2
+    data = [bytes(rng.integers(1, 256, n).tolist()) for n in (1, 2, 5, 40)]
+    got = net(np.concatenate([langid.windows_of(d) for d in data]))
+    for row, d in zip(got, data, strict=True):
+        wide = list(d) + [0] * (langid.WINDOW + langid.SPAN - 1 - len(d))
+        hidden = []
+        for f in range(net.conv.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            at = lambda i, f=f, width=width: sum(float(net.embed[wide[i + k]] @ net.conv[k * langid.SIZE : (k + 1) * langid.SIZE, f]) for k in range(width))
+            hidden.append(max(0.0, max(map(at, range(langid.WINDOW))) + float(net.bias[f])))
+        z = np.array(hidden) @ net.out + net.base
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(row, want, atol=1e-4)
+
+
+def test_texts_of_many_windows_against_one_at_a_time():
+    rng = np.random.default_rng(5)
+    net = langid.Network(["a", "b"])
+    texts = ["".join(rng.choice(list("abcdé漢 "), n)) for n in (1, 300, 2000, 7)] + [None, "", "12 3"]
+    found = list(langid.identify_texts(net, texts, most=3))
+    for t, (lang, score) in zip(texts, found, strict=True):
+        if not t or not any(map(str.isalpha, t)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        data = t.encode()
+        parts = [data[i : i + langid.WINDOW] for i in range(0, len(data), langid.WINDOW)]
+        p = sum(len(part) * net(langid.windows_of(part))[0] for part in parts) / len(data)
+        assert lang == net.labels[int(p.argmax())] and abs(score - p.max()) < 1e-5
