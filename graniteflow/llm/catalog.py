@@ -7,12 +7,15 @@ from graniteflow.llm.html import op9_html
 from graniteflow.llm.langid import op8_langid
 from graniteflow.llm.media import op10_media
 from graniteflow.llm.neardup import op7_neardup
+from graniteflow.llm.oracles import ORACLES
 from graniteflow.llm.packing import op3_pack
 from graniteflow.llm.pieces import op5_pieces
 from graniteflow.llm.sharding import op4_shard
 from graniteflow.llm.toxicity import op2_toxicity
 from graniteflow.llm.warc import op6_warc
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_toxicity": op2_toxicity,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_media": op10_media,
 }
-ORACLES: dict = {}

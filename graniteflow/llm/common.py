@@ -15,10 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and set.
+    temporary folder is made and set; on a cluster, whose machines wouldn't share it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         found = "file://" + tempfile.mkdtemp(prefix="graniteflow-")
