@@ -1,6 +1,7 @@
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from graniteflow.llm.common import fresh_path
@@ -36,3 +37,14 @@ def test_stages_decide(spark, folder):
     assert {texts[i] for i in kept[1]} >= {texts[i] for i in kept[2]} and len({texts[i] for i in kept[2]}) == len(kept[2])
     pieces = corpus_pipeline.run(spark, path)
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == kept[2]
+
+
+def test_columns_of_clashing_names_stay(spark, folder):
+    path, docs, _ = folder
+    own = {c: f"own {c}" for c in ("score", "lang_pred", "predicted", "spans", "node", "class_id")}
+    left = spark.read.parquet(f"{path}/documents.parquet").withColumns({k: F.lit(v) for k, v in own.items()})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        nxt = stage(spark, left, path)
+        assert nxt.columns == left.columns
+        left = corpus_pipeline.written(nxt)
+    assert left.count() > 100 and left.select(*own).distinct().collect() == [tuple(own.values())]
