@@ -8,6 +8,7 @@ documents. ``run`` applies them to a folder's documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graniteflow.llm import langid, neardup, packing, toxicity
 from graniteflow.llm.common import written
@@ -16,17 +17,22 @@ from graniteflow.llm.common import written
 LEAST_SCORE = 0.3
 
 
+def whole(docs: DataFrame) -> DataFrame:
+    """The columns that models read, and the row itself aside, so that columns that models add can't replace its own."""
+    return docs.select("doc_id", "text", F.struct("*").alias("_row"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in a learned language stay; null and letterless texts and texts like none of the languages go."""
-    found = langid.identify(docs, langid.train_on_fold(docs))
-    return found.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_SCORE)).select(docs.columns)
+    found = langid.identify(whole(docs), langid.train_on_fold(docs))
+    return found.where((found["lang_pred"] != langid.UNKNOWN) & (found["score"] >= LEAST_SCORE)).select("_row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the random field takes for toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    found = toxicity.score(docs, toxicity.train_on_fold(docs, labels))
-    return found.where("predicted = 0").select(docs.columns)
+    found = toxicity.score(whole(docs), toxicity.train_on_fold(docs, labels))
+    return found.where("predicted = 0").select("_row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
