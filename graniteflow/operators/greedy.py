@@ -1,13 +1,18 @@
-"""Selections in encounter order, as rounds of joins over a table of edges instead of a loop over a group."""
+"""Selections, groups and matches in encounter order, as rounds of joins over a table of edges instead of a loop over a group.
+
+Each round decides whatever no longer depends on undecided rows and takes it, with its edges, out of the
+tables, so rounds get smaller; their number is at most the longest chain of edges.
+"""
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniteflow.functions.geometry import cells
+from graniteflow.functions.geometry import cells, iou
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,34 +26,67 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def overlap_edges(boxes: DataFrame, least: float, cell: int = 200) -> DataFrame:
-    """(low, high) ids of boxes of one group whose intersection over union is above ``least``.
+def meeting(boxes: DataFrame, where: Column, cell: int = 200, reach: int = 0, give: dict[str, Column] | None = None) -> DataFrame:
+    """(low, high) ids of boxes of one group for which ``where`` holds, and the columns of ``give``; columns of the later box end in '_'.
 
-    boxes: grp, id, x1, y1, x2, y2, no two of a group equal. Boxes meet in the cells of a grid, by an equi-join on group and cell.
+    boxes: grp, id, x1, y1, x2, y2 and what else is read. Boxes within ``reach`` of each other meet in the
+    cells of a grid, by an equi-join on group and cell; a pair is given by the first cell that both touch.
     """
-    side = boxes.withColumn("gx", F.explode(cells(F.col("x1"), F.col("x2"), cell)))
-    side = side.withColumn("gy", F.explode(cells(F.col("y1"), F.col("y2"), cell)))
-    other = side.withColumnsRenamed({c: f"{c}_" for c in ("id", "x1", "y1", "x2", "y2")})
-    both = side.join(other, ["grp", "gx", "gy"]).where("id < id_")
-    wide = F.greatest(F.lit(0), F.least("x2", "x2_") - F.greatest("x1", "x1_"))
-    high = F.greatest(F.lit(0), F.least("y2", "y2_") - F.greatest("y1", "y1_"))
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) + (F.col("x2_") - F.col("x1_")) * (F.col("y2_") - F.col("y1_"))
-    return both.where(wide * high > least * (area - wide * high)).select(F.col("id").alias("low"), F.col("id_").alias("high")).distinct()
+    half = reach / 2
+    side = boxes.withColumns({"gx": cells(F.col("x1") - half, F.col("x2") + half, cell), "gy": cells(F.col("y1") - half, F.col("y2") + half, cell)})
+    side = side.withColumns({"fx": F.col("gx")[0], "fy": F.col("gy")[0]}).withColumn("gx", F.explode("gx")).withColumn("gy", F.explode("gy"))
+    other = side.withColumnsRenamed({c: f"{c}_" for c in side.columns if c not in ("grp", "gx", "gy")})
+    both = side.join(other, ["grp", "gx", "gy"]).where("id < id_ AND gx = greatest(fx, fx_) AND gy = greatest(fy, fy_)")
+    return both.where(where).select(F.col("id").alias("low"), F.col("id_").alias("high"), *[c.alias(n) for n, c in (give or {}).items()])
+
+
+def overlap_edges(boxes: DataFrame, least: float, cell: int = 200) -> DataFrame:
+    """(low, high) ids of boxes of one group whose intersection over union is above ``least``. boxes: grp, id, x1, y1, x2, y2, no two of a group equal."""
+    return meeting(boxes, iou("", "_") > least, cell)
 
 
 def greedy_selection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id and kept of each node: one is kept if no kept node before it, by id, has an edge to it.
+    """id and kept of each node: one is kept if no kept node before it, by id, has an edge (low, high) to it.
 
-    Each round decides nodes all of whose open predecessors are gone, and those with a kept one.
     Nodes without edges are kept. Null ids are dropped; an empty table gives no rows.
     """
-    ids = nodes.where("id IS NOT NULL").select("id").distinct()
-    state = cut(ids.withColumn("kept", F.lit(None).cast("boolean")))
-    edges = cut(edges)
-    while True:
-        seen = edges.join(state.withColumnsRenamed({"id": "low", "kept": "_low"}), "low")
-        before = seen.groupBy(F.col("high").alias("id")).agg(F.bool_or(F.coalesce("_low", F.lit(False))).alias("_hit"), F.bool_or(F.col("_low").isNull()).alias("_open"))
-        new = F.when(F.col("_hit"), False).when(~F.coalesce("_open", F.lit(False)), True)
-        state = cut(state.join(before, "id", "left").select("id", F.coalesce("kept", new).alias("kept")))
-        if state.where("kept IS NULL").isEmpty():
-            return state
+    left = cut(nodes.where("id IS NOT NULL").select("id").distinct())
+    known = left.withColumnRenamed("id", "low")
+    edges = cut(edges.select("low", "high").where("low < high").join(known, "low", "left_semi").join(left.withColumnRenamed("id", "high"), "high", "left_semi").distinct())
+    decided = []
+    while not edges.isEmpty():
+        heads = cut(left.join(edges.select(F.col("high").alias("id")).distinct(), "id", "left_anti"))
+        gone = cut(edges.join(heads.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct())
+        decided += [heads.withColumn("kept", F.lit(True)), gone.withColumn("kept", F.lit(False))]
+        out = heads.union(gone)
+        left = cut(left.join(out, "id", "left_anti"))
+        edges = cut(edges.join(out.withColumnRenamed("id", "low"), "low", "left_anti").join(gone.withColumnRenamed("id", "high"), "high", "left_anti"))
+    return reduce(DataFrame.union, decided, left.withColumn("kept", F.lit(True)))
+
+
+def seed_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id and seed of each node, in encounter order: a node that no seed before it has an edge to is a seed; others go to the first such seed.
+
+    It isn't the transitive closure: members don't draw in members of their own.
+    """
+    edges = cut(edges.select("low", "high"))
+    kept = cut(greedy_selection(nodes, edges))
+    seeds = kept.where("kept").select(F.col("id").alias("low"))
+    first = edges.join(seeds, "low", "left_semi").groupBy(F.col("high").alias("id")).agg(F.min("low").alias("first"))
+    return kept.join(first, "id", "left").select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("first")).alias("seed"))
+
+
+def greedy_match(candidates: DataFrame) -> DataFrame:
+    """a, b and score of a one-to-one match in encounter order: each a, by id, takes its best b that none before it took; ties go to the least b.
+
+    candidates: a, b, score, no pair twice. A round settles each a whose best open b no open a before it could take.
+    """
+    edges, found = cut(candidates.select("a", "b", "score")), []
+    while not edges.isEmpty():
+        top = edges.groupBy("a").agg(F.max("score").alias("score"))
+        best = edges.join(top, ["a", "score"]).groupBy("a", "score").agg(F.min("b").alias("b"))
+        first = edges.groupBy("b").agg(F.min("a").alias("a"))
+        settled = cut(best.join(first, ["a", "b"]).select("a", "b", "score"))
+        found.append(settled)
+        edges = cut(edges.join(settled.select("a"), "a", "left_anti").join(settled.select("b"), "b", "left_anti").select("a", "b", "score"))
+    return reduce(DataFrame.union, found, edges)
