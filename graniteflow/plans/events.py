@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graniteflow.functions.keys import packed, unpacked
 from graniteflow.session import table
 
 #: Event type to task status.
@@ -27,12 +28,24 @@ def task_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
+#: Equal ranges of values in which the median is looked for.
+RANGES = 4096
+
+
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each status the value at position n div 2 of the sorted values. Counts of equal values are summed up first."""
+    """Of each status the value at position n div 2 of the sorted values.
+
+    Counts of equal values are summed up in ranges; only the range that holds the position is sorted.
+    """
     counts = events(spark, sf_dir).where("value IS NOT NULL").groupBy("status", "value").agg(F.count("*").alias("k"))
-    whole = Window.partitionBy("status")
-    run = counts.select("status", "value", F.sum("k").over(whole.orderBy("value")).alias("upto"), F.sum("k").over(whole).alias("n"))
-    return run.where("upto > n div 2").groupBy("status").agg(F.min("value").alias("median"))
+    limits = counts.groupBy("status").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.sum("k").alias("n"))  # a row for each status
+    share = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    dealt = counts.join(F.broadcast(limits), "status").withColumn("part", F.least(F.floor(share * RANGES), F.lit(RANGES - 1)))
+    sums = dealt.groupBy("status", "part").agg(F.sum("k").alias("held"), F.first("n").alias("n"))  # RANGES rows for each status at most
+    upto = F.sum("held").over(Window.partitionBy("status").orderBy("part"))
+    found = sums.withColumn("before", upto - F.col("held")).where("before <= n div 2 AND before + held > n div 2").select("status", "part", "before")
+    run = F.sum("k").over(Window.partitionBy("status", "part").orderBy("value")) + F.col("before")
+    return dealt.join(F.broadcast(found), ["status", "part"]).select("status", "value", "n", run.alias("upto")).where("upto > n div 2").groupBy("status").agg(F.min("value").alias("median"))
 
 
 def hourly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +54,15 @@ def hourly_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last status of each user: a maximum by (ts, event_id), which combines before the shuffle."""
-    last = F.max_by(F.struct("status", "ts"), F.struct("ts", "event_id")).alias("last")
-    return events(spark, sf_dir).groupBy("user_id").agg(last, F.count("*").alias("n")).select("user_id", "last.status", "last.ts", "n")
+    """The last status of each user by (ts, event_id): one packed number, whose maximum combines before the shuffle."""
+    names = list(STATUS.values())
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("status")), F.lit(0))
+    key = packed((F.unix_micros(F.col("ts").cast("timestamp")), 17), (F.col("event_id"), 11), (code, 1))
+    last = events(spark, sf_dir).groupBy("user_id").agg(F.max(key).alias("_k"), F.count("*").alias("n"))
+    micros, _, code = unpacked(F.col("_k"), 17, 11, 1)
+    ts = F.timestamp_micros(micros)
+    ts = ts.cast("timestamp_ntz") if dict(events(spark, sf_dir).dtypes)["ts"] == "timestamp_ntz" else ts
+    return last.select("user_id", F.get(F.array(*map(F.lit, names)), (code - 1).cast("int")).alias("status"), ts.alias("ts"), "n")
 
 
 def user_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graniteflow.functions.keys import falling, packed, unpacked
 from graniteflow.plans.events import events
 from graniteflow.plans.takeoff import COMPONENTS_SQL, components
 from graniteflow.session import table
 
+#: Type of a line number.
+LINE = "int"
+
 
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the candidates for a part the most certain one; ties go to the least order and line, then supplier."""
     c = 100 - F.round(F.col("l_discount") * 100).cast("long")
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", c.alias("c"))
-    key = F.struct("c", -F.col("l_orderkey"), -F.col("l_linenumber"), -F.col("l_suppkey"))
-    best = F.max_by(F.struct("l_orderkey", "l_linenumber", "l_suppkey", "c"), key).alias("best")
-    return rows.groupBy("l_partkey").agg(best, F.count("*").alias("n")).select("l_partkey", "best.*", "n")
+    order, line, supplier = (falling(F.col(n), d) for n, d in (("l_orderkey", 12), ("l_linenumber", 2), ("l_suppkey", 10)))
+    best = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max(packed((c, 3), (order, 12), (line, 2), (supplier, 10))).alias("_k"), F.count("*").alias("n"))
+    c, order, line, supplier = unpacked(F.col("_k"), 3, 12, 2, 10)
+    return best.select("l_partkey", falling(order, 12).alias("l_orderkey"), falling(line, 2).cast(LINE).alias("l_linenumber"), falling(supplier, 10).alias("l_suppkey"), c.alias("c"), "n")
 
 
 def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their first line item, if any, and their owner's name; line items are reduced before the join."""
-    key = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(key).alias("k"))
+    key = packed((F.col("l_linenumber"), 2), (F.col("l_partkey"), 12))
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(key).alias("_k"))
+    line, part = unpacked(F.col("_k"), 2, 12)
+    first = first.select("o_orderkey", line.cast(LINE).alias("line"), part.alias("part"))
     owners = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(first, "o_orderkey", "left").join(owners, "o_custkey", "left")
-    return rows.select("o_orderkey", "c_name", F.col("k.l_linenumber").alias("line"), F.col("k.l_partkey").alias("part"))
+    return rows.select("o_orderkey", "c_name", "line", "part")
 
 
 def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of even and odd slices by type, side by side, with the difference."""
-    counts = components(spark, sf_dir).groupBy("component_type", (F.col("slice_index") % 2).alias("side")).agg(F.count("*").alias("n"))
-    even, odd = (counts.where(F.col("side") == k).select("component_type", F.col("n").alias(name)) for k, name in ((0, "even"), (1, "odd")))
-    n = [F.coalesce(c, F.lit(0)) for c in ("even", "odd")]
-    return even.join(odd, "component_type", "full").select("component_type", n[0].alias("even"), n[1].alias("odd"), (n[0] - n[1]).alias("difference"))
+    even, odd = (F.count_if(F.col("slice_index") % 2 == k) for k in (0, 1))
+    return components(spark, sf_dir).groupBy("component_type").agg(even.alias("even"), odd.alias("odd"), (even - odd).alias("difference"))
 
 
 def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

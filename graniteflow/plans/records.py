@@ -24,9 +24,9 @@ def owner_status_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reuse_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many orders have line items and how many have none, by status."""
-    orders, keys = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    sides = [orders.join(keys, "o_orderkey", how).groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("reuse", F.lit(how == "left_semi")) for how in ("left_semi", "left_anti")]
-    return sides[0].unionByName(sides[1])
+    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("_held", F.lit(True))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(keys, "o_orderkey", "left")
+    return rows.groupBy("o_orderstatus", F.coalesce("_held", F.lit(False)).alias("reuse")).agg(F.count("*").alias("n"))
 
 
 def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteflow.session import table
@@ -17,14 +17,17 @@ TYPE_OF_WORD = {
 }
 
 
-def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Component rows drawn from lineitem and part: one row a line item."""
-    word = F.split("p_type", " ")[0]
-    kind = F.lit("unknown")
+def kind_of_part() -> Column:
+    word, kind = F.split("p_type", " ")[0], F.lit("unknown")
     for key, value in TYPE_OF_WORD.items():
         kind = F.when(word == key, value).otherwise(kind)
+    return kind
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component rows drawn from lineitem and part: one row a line item."""
     part = table(spark, sf_dir, "part").select(
-        "p_partkey", kind.alias("component_type"), (F.col("p_size") / 10).alias("width"), F.col("p_brand").alias("material")
+        "p_partkey", kind_of_part().alias("component_type"), (F.col("p_size") / 10).alias("width"), F.col("p_brand").alias("material")
     )
     line = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("drawing_id"), "l_partkey", F.col("l_linenumber").alias("ord"), F.col("l_quantity").alias("length"),
@@ -36,11 +39,10 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantity_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        components(spark, sf_dir)
-        .groupBy("component_type")
-        .agg(F.count("*").alias("n"), F.round(F.sum("quantity"), 3).alias("total_quantity"))
-    )
+    """Components and their quantity by type; line items are summed by part before the join."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("quantity"))
+    part = table(spark, sf_dir, "part").select("p_partkey", kind_of_part().alias("component_type"))
+    return lines.join(part, "p_partkey").groupBy("component_type").agg(F.sum("n").alias("n"), F.sum("quantity").cast("double").alias("total_quantity"))
 
 
 COMPONENTS_SQL = """components AS (

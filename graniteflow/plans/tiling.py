@@ -150,7 +150,7 @@ ORACLES = {
       round(greatest(0.0, 1 - d / 50) * 0.6::DOUBLE + least(area, area_) / greatest(area, area_) * 0.4::DOUBLE, 6) AS spatial FROM pairs WHERE shared > 0""",
     "edge_flags": f"""WITH {REGIONS_SQL}, l AS (SELECT id, x1 % 500 AS a, y1 % 500 AS b, x1 % 500 + x2 - x1 AS c, y1 % 500 + y2 - y1 AS d, CASE WHEN id % 2 = 0 THEN 30 ELSE 20 END AS n, CASE WHEN id % 3 = 0 THEN 100 ELSE 0 END AS m FROM r)
       SELECT id, id % 13 != 0 AND (a <= n OR c >= 500 - n OR b <= n OR d >= 500 - n) AS edge, (a + c) / 2 < m OR (a + c) / 2 > 500 - m OR (b + d) / 2 < m OR (b + d) / 2 > 500 - m AS band FROM l""",
-    "moved_polygons": f"""WITH {REGIONS_SQL} SELECT id, (x1 + sheet * 1000)::DOUBLE AS x1, (y1 - 5)::DOUBLE AS y1, (x2 + sheet * 1000)::DOUBLE AS x2, (y2 - 5)::DOUBLE AS y2, 4 AS corners, x1 // 100 * 100 AS cx, floor(y1 / 2000 * 10)::BIGINT AS gy FROM r""",
+    "moved_polygons": f"""WITH {REGIONS_SQL} SELECT id, (x1 + sheet * 1000)::DOUBLE AS x1, (y1 - 5)::DOUBLE AS y1, (x2 + sheet * 1000)::DOUBLE AS x2, (y2 - 5)::DOUBLE AS y2, 4 AS corners, (x1 // 100 * 100)::BIGINT AS cx, floor(y1 / 2000 * 10)::BIGINT AS gy FROM r""",
     "discrepancy_rows": f"""WITH {REGIONS_SQL}, d AS (SELECT a.id, concat_ws(',', CASE WHEN a.text != b.text THEN 'text_mismatch' END, CASE WHEN abs(a.x1 - b.x1) * 6 > 20 OR abs(a.y1 - b.y1) > 20 THEN 'coordinate_mismatch' END) AS differs
       FROM r a JOIN r b ON b.id % 3 = 1 AND a.id // 3 = b.id // 3) SELECT id, differs, CASE WHEN differs = '' THEN 'consistent' ELSE 'inconsistent' END AS status FROM d""",
 }
