@@ -13,12 +13,11 @@ exact Jaccard similarity of their shingles is 0.8 or more. Classes are the conne
 Shape of the job: equal texts are one node, known by a hash of the text. In each bucket every member is
 paired with one of its members, that which shares most buckets with others (pairs grow with members, not
 their square; the source of a group of copies shares most), and the links' components are drawn up. Where
-a bucket's members then still lie in several components, pairs without the head are untested. A large
-bucket of that kind is first dealt by its members' other bands: two texts at 0.8 that share one band share
-another with a probability of 1 - 5e-6, so its members meet in the smaller buckets of two bands. There a
-task compares signatures of nodes of different components, verifies those that may reach the threshold by
-their shingles at once, and gives out only links that join two components. So no link that joins classes is
-lost but by the bands (a pair at 0.8 shares no band with a probability of 3 in a million).
+a bucket's members then still lie in several components, pairs without the head are untested: its members
+meet in blocks of bounded size, where a task compares signatures of nodes of different components, verifies
+those that may reach the threshold by their shingles at once, and gives out only links that join two
+components. So no link that joins classes is lost but by the bands (a pair at 0.8 shares no band with a
+probability of 3 in a million). The comparisons, not the rows, grow with the square of such a bucket.
 """
 
 from __future__ import annotations
@@ -41,9 +40,8 @@ BANDS = COORDINATES // ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
 #: Below this share of equal coordinates a pair isn't verified: 4.5 standard deviations under LEAST.
 HOPE = LEAST - 4.5 * np.sqrt(LEAST * (1 - LEAST) / COORDINATES)
-#: Entries of a worker's memo of word hashes; members of a bucket in a block, and bytes of their shingles;
-#: members of an open bucket from which it is dealt by its members' other bands.
-MEMO, TOGETHER, BLOCK_BYTES, LARGE = 300_000, 1024, 16 << 20, 256
+#: Entries of a worker's memo of word hashes; members of a bucket in a block, and bytes of their shingles.
+MEMO, TOGETHER, BLOCK_BYTES = 300_000, 1024, 16 << 20
 U = np.uint64
 
 
@@ -218,22 +216,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         labels = new.select("node", "component")
 
 
-def dealt(rest: DataFrame, nodes: DataFrame) -> DataFrame:
-    """bucket, node and component of open buckets, those of over LARGE members dealt anew by their members' other bands.
-
-    rest: bucket, node, component. A dealt bucket keeps only the parts that hold several components.
-    """
-    sizes = written(rest.groupBy("bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE).select("bucket"), "neardup-large")
-    large = written(rest.join(sizes, "bucket", "left_semi"), "neardup-large")
-    if large.isEmpty():
-        return rest
-    finer = large.join(nodes.select("node", "bands"), "node").select("node", "component", "bucket", F.explode("bands").alias("_other")).where("_other != bucket")
-    # the two bands' bucket is the same whichever of them was large
-    key = F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other"))
-    finer = written(finer.select(key.alias("bucket"), "node", "component").distinct(), "neardup-finer")
-    return rest.join(sizes, "bucket", "left_anti").unionByName(several(finer))
-
-
 def several(rows: DataFrame) -> DataFrame:
     """The rows (bucket, node, component) of buckets that hold several components."""
     split = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
@@ -296,7 +278,7 @@ def classes(docs: DataFrame) -> DataFrame:
     parts = components(links)
     # buckets of three and more that are still in several parts: pairs of their members without the head are untested
     open_rows = members.where("n > 2").join(parts, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    rest = written(dealt(written(several(written(open_rows, "neardup-rows")), "neardup-open"), nodes), "neardup-open")
+    rest = written(several(written(open_rows, "neardup-rows")), "neardup-open")
     if not rest.isEmpty():
         known = nodes.select("node", "doc_id", "signature").join(rest.select("node").distinct(), "node")
         sets = shingle_sets(docs, known.select("node", "doc_id")).join(known.select("node", "signature"), "node")

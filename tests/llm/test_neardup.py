@@ -153,13 +153,6 @@ def test_null_and_repeated_ids_against_brute_force(spark):
     assert sorted(group_of[r["text"]] for r in left if r["doc_id"] is None) == [0, 1, 1, 5]  # rows without an id stay
 
 
-def test_dealt_buckets_keep_all_links(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "LARGE", 3)
-    rows = corpus(seed=8)
-    out = {r["doc_id"]: r["class_id"] for r in classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == brute(rows)
-
-
 def test_recall_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
