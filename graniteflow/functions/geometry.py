@@ -112,6 +112,7 @@ LARGEST_TILE, SHARED = 2048, 204
 
 def slicing_plan(width: Column, height: Column) -> Column:
     """Columns and rows of tiles of a sheet and a tile's size; one tile for a sheet that needs none."""
+
     def along(side: Column) -> tuple[Column, Column]:
         n = F.ceil(side / (LARGEST_TILE - SHARED)).cast("int")
         return n, F.least(F.lit(LARGEST_TILE), F.floor((side + SHARED * (n - 1)) / n)).cast("int")
@@ -129,12 +130,12 @@ def tiles_of(width: Column, height: Column) -> Column:
     """
     plan = slicing_plan(width, height)
     nx, ny, w, h = plan["nx"], plan["ny"], plan["tile_width"], plan["tile_height"]
-    at = lambda i, size, n, side: F.least(i * (size - SHARED), F.greatest(F.lit(0), side - size)).cast("int")
+    at = lambda i, size, side: F.least(i * (size - SHARED), F.greatest(F.lit(0), side - size)).cast("int")
     share = lambda test: F.when(test, SHARED).otherwise(0)
 
     def tile(row: Column, col: Column) -> Column:
         return F.struct(
-            row.cast("int").alias("row"), col.cast("int").alias("col"), at(col, w, nx, width).alias("x"), at(row, h, ny, height).alias("y"), w.alias("width"), h.alias("height"),
+            row.cast("int").alias("row"), col.cast("int").alias("col"), at(col, w, width).alias("x"), at(row, h, height).alias("y"), w.alias("width"), h.alias("height"),
             share(col > 0).alias("left"), share(row > 0).alias("top"), share(col < nx - 1).alias("right"), share(row < ny - 1).alias("bottom"),
         )
 

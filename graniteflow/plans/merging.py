@@ -173,9 +173,9 @@ def fusion_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Texts of one source and components of the other: every third region each."""
+    """Regions of two sources: the first of each three as a text, the others as components."""
     rows = regions(spark, sf_dir).select("grp", "id", "text", "conf", *g.BOX)
-    return rows.where("id % 3 = 0"), rows.where("id % 3 = 1").withColumn("text", F.when(F.col("id") % 2 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    return rows.where("id % 3 = 0"), rows.where("id % 3 != 0").withColumn("text", F.when(F.col("id") % 2 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
 
 
 def match_candidates(texts: DataFrame, things: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ _EDITS = "CASE WHEN upper(text) = upper(text_) THEN 1 WHEN least(length(text), l
 _KIND = "CASE WHEN regexp_matches(upper({0}), '^[A-Z]{{1,3}}[0-9]+[A-Z]*$') THEN 'component_id' ELSE 'unknown' END"
 
 
-def _selection(edges_where: str, nodes: str = "r", step: str = "id", out: str = "id, is_kept AS kept", directed: str = "{}") -> str:
+def _selection(edges_where: str, nodes: str = "r", step: str = "id", out: str = "id, is_kept AS kept") -> str:
     edges = _BOTH_WAYS.format("edges") if step != "id" else "edges"
     return f"WITH RECURSIVE {PAIRS_SQL}, edges AS (SELECT grp, low, high FROM pairs WHERE {edges_where}), {greedy_sql(nodes, edges, step)} SELECT {out} FROM seeded"
 
@@ -299,7 +299,7 @@ _FUSED = f"""WITH RECURSIVE {PAIRS_SQL}, edges AS (SELECT grp, low, high FROM pa
   b AS (SELECT *, least(1.0::DOUBLE, conf / 1000 + CASE conflict WHEN 'spatial' THEN 0.05 WHEN 'attribute' THEN 0.03 WHEN 'semantic' THEN CASE WHEN vision > 0 THEN 0.08 ELSE 0.02 END ELSE 0 END::DOUBLE) AS sure FROM w WHERE place = 1),
   fused AS (SELECT CASE WHEN conflict = 'single' THEN 'single_' || id ELSE 'conflict_resolved_' || seed END AS component, id, conflict, n, source, round(sure, 6) AS confidence,
     round(least(1.0::DOUBLE, sure + least(0.1::DOUBLE, attributes * 0.02::DOUBLE) + coordinates / 4 * 0.1::DOUBLE), 6) AS quality FROM b)"""
-_CROSS = f"""WITH RECURSIVE {PAIRS_SQL}, a AS (SELECT * FROM r WHERE id % 3 = 0), b AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN text || ' x' ELSE text END AS text) FROM r WHERE id % 3 = 1),
+_CROSS = f"""WITH RECURSIVE {PAIRS_SQL}, a AS (SELECT * FROM r WHERE id % 3 = 0), b AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN text || ' x' ELSE text END AS text) FROM r WHERE id % 3 != 0),
   sc AS (SELECT a.grp, a.id AS a, b.id AS b, round((greatest(0.0, 1 - sqrt(((a.x1 + a.x2 - b.x1 - b.x2) / 2) ** 2 + ((a.y1 + a.y2 - b.y1 - b.y2) / 2) ** 2) / 50) * 0.6::DOUBLE
       + least((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) / greatest((a.x2 - a.x1) * (a.y2 - a.y1), (b.x2 - b.x1) * (b.y2 - b.y1)) * 0.4::DOUBLE) * 0.7::DOUBLE
       + CASE WHEN lower(a.text) = lower(b.text) THEN 1.0 WHEN contains(lower(a.text), lower(b.text)) OR contains(lower(b.text), lower(a.text)) THEN 0.7 WHEN list_has_any(string_split(lower(a.text), ' '), string_split(lower(b.text), ' ')) THEN 0.5 ELSE 0 END::DOUBLE * 0.3::DOUBLE, 9) AS score FROM a JOIN b USING (grp)),

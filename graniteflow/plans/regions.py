@@ -121,6 +121,7 @@ def type_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attribute_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each text's regions the share of pairs whose kinds agree, and of its sizes: counted from how often each value stands, without pairs."""
     pairs = lambda n: n * (n - 1) / 2
+
     def agreeing(value: Column) -> DataFrame:
         counts = regions(spark, sf_dir).groupBy("text", value.alias("value")).agg(F.count("*").alias("k"))
         return counts.groupBy("text").agg(F.sum(pairs(F.col("k"))).alias("same"), F.sum("k").alias("n"))
