@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graniteflow.llm.alignment import op11_align
 from graniteflow.llm.fingerprints import op1_fingerprint
 from graniteflow.llm.html import op9_html
 from graniteflow.llm.langid import op8_langid
@@ -9,6 +10,7 @@ from graniteflow.llm.media import op10_media
 from graniteflow.llm.neardup import op7_neardup
 from graniteflow.llm.oracles import ORACLES
 from graniteflow.llm.packing import op3_pack
+from graniteflow.llm.periodic import op13_periodic
 from graniteflow.llm.pieces import op5_pieces
 from graniteflow.llm.sharding import op4_shard
 from graniteflow.llm.toxicity import op2_toxicity
@@ -27,4 +29,6 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_html": op9_html,
     "op10_media": op10_media,
+    "op11_align": op11_align,
+    "op13_periodic": op13_periodic,
 }
