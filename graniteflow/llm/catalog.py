@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graniteflow.llm.alignment import op11_align
+from graniteflow.llm.chat import op12_chat
 from graniteflow.llm.fingerprints import op1_fingerprint
 from graniteflow.llm.html import op9_html
 from graniteflow.llm.langid import op8_langid
@@ -30,5 +31,6 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_media": op10_media,
     "op11_align": op11_align,
+    "op12_chat": op12_chat,
     "op13_periodic": op13_periodic,
 }

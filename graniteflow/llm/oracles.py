@@ -54,4 +54,15 @@ WARC = f"""SELECT page_id, strlen(html) AS payload_bytes, {_BASE32} AS payload_d
     CASE WHEN page_id < leader THEN leader END AS refers_to
   FROM (SELECT page_id, html, max(page_id) OVER (PARTITION BY html) AS leader FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))"""
 
-ORACLES = {"op1_fingerprint": FINGERPRINT, "op6_warc": WARC}
+_REST = r"(<SYS>>|</SYS>>|/?INST\]|/?s>|TURN [0-9A-F]*\]|/TURN\])"
+_MARKS = "CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 14 + 2 * strlen(role) END"
+
+CHAT = rf"""WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')))
+  SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum({_MARKS} + length(regexp_replace(text, '([<\[])(\\*){_REST}', '\1\\\2\3', 'g')))::BIGINT AS formatted_chars
+  FROM given GROUP BY conv_id"""
+
+ORACLES = {"op1_fingerprint": FINGERPRINT, "op6_warc": WARC, "op12_chat": CHAT}
