@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graniteflow.plans import content, events, exports, layout, lists, marks, matching, merging, monitoring, nested, payloads, quantities, records, regions, rollups, takeoff, tiling
+from graniteflow.plans import content, events, exports, layout, lists, marks, matching, merging, monitoring, nested, payloads, quantities, records, regions, rollups, takeoff, tiers, tiling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (takeoff, rollups, events, layout, records, content, matching, quantities, marks, tiling, merging, nested, lists, monitoring, regions, exports, payloads):
+for _module in (takeoff, rollups, events, layout, records, content, matching, quantities, marks, tiling, merging, tiers, nested, lists, monitoring, regions, exports, payloads):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -1,19 +1,25 @@
 """Selections, groups and matches in encounter order, as rounds of joins over a table of edges instead of a loop over a group.
 
 Each round decides whatever no longer depends on undecided rows and takes it, with its edges, out of the
-tables, so rounds get smaller; their number is at most the longest chain of edges.
+tables, so rounds get smaller; their number is at most the longest chain of edges. Once ``alone`` edges or fewer
+are left, one task decides them in order, so long chains don't cost a round for each of their rows.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteflow.functions.geometry import cells, iou
 
+#: Open edges that one task may decide: 16 bytes each, some 25 MB as Python's objects.
+ALONE = 200_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows without their lineage, kept in ``spark.checkpoint.dir`` (set only where it is unset, as in tests)."""
@@ -45,7 +51,31 @@ def overlap_edges(boxes: DataFrame, least: float, cell: int = 200) -> DataFrame:
     return meeting(boxes, iou("", "_") > least, cell)
 
 
-def greedy_selection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _selected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id and kept of the nodes of these edges (low, high), in the order of ids."""
+    before: dict = {}
+    for frame in frames:
+        for low, high in zip(frame["low"].tolist(), frame["high"].tolist(), strict=True):
+            before.setdefault(high, []).append(low)
+            before.setdefault(low, [])
+    kept: dict = {}
+    for i in sorted(before):
+        kept[i] = not any(kept[low] for low in before[i])
+    yield pd.DataFrame({"id": list(kept), "kept": list(kept.values())}).astype({"id": "int64", "kept": "bool"})
+
+
+def _matched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a, b and score of the match of these candidates, in the order of a."""
+    rows, taken = pd.concat([pd.DataFrame({"a": [], "b": [], "score": []}), *frames]).sort_values(["a", "score", "b"], ascending=[True, False, True]), set()
+    found: dict = {}
+    for a, b, score in zip(rows["a"].tolist(), rows["b"].tolist(), rows["score"].tolist(), strict=True):
+        if a not in found and b not in taken:
+            found[a] = (a, b, score)
+            taken.add(b)
+    yield pd.DataFrame(list(found.values()), columns=["a", "b", "score"]).astype({"a": "int64", "b": "int64", "score": "float64"})
+
+
+def greedy_selection(nodes: DataFrame, edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """id and kept of each node: one is kept if no kept node before it, by id, has an edge (low, high) to it.
 
     Nodes without edges are kept. Null ids are dropped; an empty table gives no rows.
@@ -54,39 +84,49 @@ def greedy_selection(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     known = left.withColumnRenamed("id", "low")
     edges = cut(edges.select("low", "high").where("low < high").join(known, "low", "left_semi").join(left.withColumnRenamed("id", "high"), "high", "left_semi").distinct())
     decided = []
-    while not edges.isEmpty():
+    while (open_edges := edges.count()) > alone:
         heads = cut(left.join(edges.select(F.col("high").alias("id")).distinct(), "id", "left_anti"))
         gone = cut(edges.join(heads.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct())
         decided += [heads.withColumn("kept", F.lit(True)), gone.withColumn("kept", F.lit(False))]
         out = heads.union(gone)
         left = cut(left.join(out, "id", "left_anti"))
         edges = cut(edges.join(out.withColumnRenamed("id", "low"), "low", "left_anti").join(gone.withColumnRenamed("id", "high"), "high", "left_anti"))
+        if len(decided) % 16 == 0:  # the plan doesn't grow with the rounds
+            decided = [cut(reduce(DataFrame.union, decided))]
+    if open_edges:
+        last = cut(edges.select(F.col("low").cast("long"), F.col("high").cast("long")).coalesce(1).mapInPandas(_selected, "id long, kept boolean"))
+        decided.append(last)
+        left = left.join(last, "id", "left_anti")
     return reduce(DataFrame.union, decided, left.withColumn("kept", F.lit(True)))
 
 
-def seed_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def seed_groups(nodes: DataFrame, edges: DataFrame, alone: int = ALONE) -> DataFrame:
     """id and seed of each node, in encounter order: a node that no seed before it has an edge to is a seed; others go to the first such seed.
 
     It isn't the transitive closure: members don't draw in members of their own.
     """
     edges = cut(edges.select("low", "high"))
-    kept = cut(greedy_selection(nodes, edges))
+    kept = cut(greedy_selection(nodes, edges, alone))
     seeds = kept.where("kept").select(F.col("id").alias("low"))
     first = edges.join(seeds, "low", "left_semi").groupBy(F.col("high").alias("id")).agg(F.min("low").alias("first"))
     return kept.join(first, "id", "left").select("id", F.when(F.col("kept"), F.col("id")).otherwise(F.col("first")).alias("seed"))
 
 
-def greedy_match(candidates: DataFrame) -> DataFrame:
+def greedy_match(candidates: DataFrame, alone: int = ALONE) -> DataFrame:
     """a, b and score of a one-to-one match in encounter order: each a, by id, takes its best b that none before it took; ties go to the least b.
 
     candidates: a, b, score, no pair twice. A round settles each a whose best open b no open a before it could take.
     """
     edges, found = cut(candidates.select("a", "b", "score")), []
-    while not edges.isEmpty():
+    while (open_edges := edges.count()) > alone:
         top = edges.groupBy("a").agg(F.max("score").alias("score"))
         best = edges.join(top, ["a", "score"]).groupBy("a", "score").agg(F.min("b").alias("b"))
         first = edges.groupBy("b").agg(F.min("a").alias("a"))
         settled = cut(best.join(first, ["a", "b"]).select("a", "b", "score"))
         found.append(settled)
         edges = cut(edges.join(settled.select("a"), "a", "left_anti").join(settled.select("b"), "b", "left_anti").select("a", "b", "score"))
+        if len(found) % 16 == 0:
+            found = [cut(reduce(DataFrame.union, found))]
+    if open_edges:
+        edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("score").cast("double")).coalesce(1).mapInPandas(_matched, "a long, b long, score double")
     return reduce(DataFrame.union, found, edges)
