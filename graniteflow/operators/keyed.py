@@ -18,7 +18,7 @@ from graniteflow.operators.greedy import ALONE, cut
 
 
 def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """id and kept of the open rows, one after the other: given is null for a key that is taken, else whether a seed gives it."""
+    """id and seed of the open rows, one after the other: given is null for a key that is taken, else whether a seed gives it."""
     rows = pd.concat([pd.DataFrame({"id": pd.Series([], dtype="int64"), "key": [], "given": []}), *frames])
     seeds: dict = {}
     gives: dict = {}
@@ -32,12 +32,12 @@ def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             gives.setdefault(i, []).append(key)
     out = []
     for i in sorted(takes.keys() | gives.keys()):
-        kept = not any(key in seeds and seeds[key] < i for key in takes.get(i, ()))
-        out.append((i, kept))
-        if kept:
+        seed = min((seeds[key] for key in takes.get(i, ()) if key in seeds), default=i)
+        out.append((i, min(i, seed)))
+        if seed >= i:
             for key in gives.get(i, ()):
                 seeds[key] = min(i, seeds.get(key, i))
-    yield pd.DataFrame(out, columns=["id", "kept"]).astype({"id": "int64", "kept": "bool"})
+    yield pd.DataFrame(out, columns=["id", "seed"], dtype="int64")
 
 
 def _open(gives: DataFrame, takes: DataFrame) -> DataFrame:
@@ -56,7 +56,11 @@ def seeds_by_keys(nodes: DataFrame, gives: DataFrame, takes: DataFrame, alone: i
     known = nodes.where("id IS NOT NULL").select("id").distinct()
     gives = cut(gives.select("id", "key").where("key IS NOT NULL").distinct().join(known, "id", "left_semi"))
     takes = cut(takes.select("id", "key").where("key IS NOT NULL").distinct().join(known, "id", "left_semi"))
-    # open rows: kept null; keys that nobody open takes, or nobody gives, don't matter
+    rows = lambda gives, takes: gives.unionByName(takes.select("id", "key", F.lit(None).cast("boolean").alias("given"))).coalesce(1)
+    if gives.count() + takes.count() <= alone:
+        found = cut(rows(gives.withColumn("given", F.lit(False)), takes).mapInPandas(_settled, "id long, seed long"))
+        return known.join(found, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
+    # keys that nobody open takes, or nobody gives, don't matter
     open_takes = cut(takes.join(gives.select("key").distinct(), "key", "left_semi"))
     open_gives = cut(_open(gives, open_takes))
     drawn = []
@@ -64,8 +68,8 @@ def seeds_by_keys(nodes: DataFrame, gives: DataFrame, takes: DataFrame, alone: i
         if open_takes.isEmpty():
             break
         if open_gives.count() + open_takes.count() <= alone:
-            rows = open_gives.select("id", "key", F.col("seed").alias("given")).unionByName(open_takes.select("id", "key", F.lit(None).cast("boolean").alias("given")))
-            drawn.append(cut(rows.coalesce(1).mapInPandas(_settled, "id long, kept boolean").where("NOT kept").select("id")))
+            left = rows(open_gives.withColumnRenamed("seed", "given"), open_takes)
+            drawn.append(cut(left.mapInPandas(_settled, "id long, seed long").where("seed < id").select("id")))
             break
         least = open_gives.groupBy("key").agg(F.min("id").alias("first"), F.min(F.when(F.col("seed"), F.col("id"))).alias("taker"))
         met = open_takes.join(least, "key", "left").groupBy("id").agg(F.min("first").alias("first"), F.min("taker").alias("taker"))
