@@ -140,8 +140,26 @@ def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corrected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spoilt text corrected, with the kinds of corrections and a confidence."""
-    rows = damaged(spark, sf_dir).withColumn("_c", c.correction("text", "confidence"))
-    return rows.select("p_partkey", "text", "_c.corrected", F.array_join("_c.kinds", ",").alias("kinds"), F.round("_c.confidence", 6).alias("confidence"))
+    rows = c.with_corrections(damaged(spark, sf_dir))
+    return rows.select("p_partkey", "text", "corrected", F.array_join("kinds", ",").alias("kinds"), F.round("corrected_confidence", 6).alias("confidence"))
+
+
+def context_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and words with confusable characters, put right where their neighbours ask for it."""
+    key = F.col("p_partkey")
+    text = F.when(key % 5 == 0, F.concat(F.lit("1O"), key % 40, F.lit("S"))).when(key % 5 == 1, F.concat(F.lit("K8L"), key % 90)).when(key % 5 == 2, F.concat(F.lit("粱"), key % 7, F.lit("住"))).when(key % 5 == 3, F.concat(key % 300, F.lit("l"), key % 11)).otherwise("A|B")
+    rows = marked(spark, sf_dir).select("p_partkey", text.alias("text")).withColumn("_c", c.in_context(F.col("text")))
+    return rows.select("p_partkey", "text", "_c.text", "_c.n").toDF("p_partkey", "text", "corrected", "n")
+
+
+def respelt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types and codes after the table of spellings and the formats of codes, rebar, sizes and concrete."""
+    key = F.col("p_partkey")
+    text = (
+        F.when(key % 6 == 0, F.concat(F.lit("K2 "), key % 50)).when(key % 6 == 1, F.concat(F.lit("φ"), key % 20 + 6, F.lit("a"), key % 9 * 50)).when(key % 6 == 2, F.concat(key % 90, F.lit("x"), key % 70, F.lit("rnm")))
+        .when(key % 6 == 3, F.get(F.array(*map(F.lit, "I O G c 17 MPA JO1 K乙3".split())), (key % 8).cast("int"))).when(key % 6 == 4, F.concat(F.lit("g"), key % 60)).otherwise(F.concat(F.lit("GL1 / W0 "), key % 30))
+    )
+    return marked(spark, sf_dir).select("p_partkey", text.alias("text"), c.respelt(text).alias("respelt"))
 
 
 def correction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +180,30 @@ QUERIES = {
     f.__name__: f
     for f in (
         tile_defaults, known_tiles_only, first_three_near, first_by_text, first_by_id_or_place, distinct_records, round_robin, repeated_tiles, adjacent_lines, texts_by_kind, type_distribution,
-        attribute_agreement, corrected_texts, correction_statistics, nearest_prefixes,
+        attribute_agreement, corrected_texts, context_corrections, respelt_texts, correction_statistics, nearest_prefixes,
     )
 }
 _TILE = f"SELECT (n // 5)::INT AS row, (n % 5)::INT AS col, (n % 5 * 400)::INT AS ox, (n // 5 * 400)::INT AS oy FROM range({KNOWN}) t(n)"
+
+#: A state for each text and pair of a table (w: wrong, r: right), in the table's order.
+_PAIRS = lambda table: ", ".join("({}, {}, {})".format(i, *("'" + x.replace("'", "''") + "'" for x in pair)) for i, pair in enumerate(table))
+_CONFUSED = [(w, r) for r, wrong in c.CONFUSED.items() for w in wrong]
+_SPELLINGS = [(w, r) for r, wrong in c.SPELLINGS.items() for w in wrong.split()]
+_AT = "strpos(t, w)"
+_AROUND = f"(substr(t, greatest({_AT} - 2, 1)::INT, ({_AT} - greatest({_AT} - 2, 1))::INT) || substr(t, ({_AT} + 1)::INT, 2))"
+_FITS = f"({_AT} > 0 AND length(regexp_replace({_AROUND}, CASE WHEN r BETWEEN '0' AND '9' THEN '[0-9]' ELSE '\\p{{L}}' END, '', 'g')) * 2 <= length({_AROUND}))"
 _TYPE = "CASE WHEN regexp_matches(upper(text), '^[A-Z]{1,3}[0-9]+[A-Z]*$') THEN 'component_id' ELSE 'unknown' END"
 ORACLES = {
+    "context_corrections": f"""WITH RECURSIVE pairs(i, w, r) AS (VALUES {_PAIRS(_CONFUSED)}), d AS (SELECT DISTINCT text FROM (SELECT {{0}} AS text FROM part)),
+      s AS (SELECT text, text AS t, 0 AS n, 0 AS k FROM d UNION ALL SELECT text, CASE WHEN {_FITS} THEN replace(t, w, r) ELSE t END, n + {_FITS}::INT, k + 1 FROM s JOIN pairs ON i = k)
+      SELECT p_partkey, text, t AS corrected, n FROM (SELECT p_partkey, {{0}} AS text FROM part) JOIN s USING (text) WHERE k = {len(_CONFUSED)}""".replace(
+        "{0}", "CASE p_partkey % 5 WHEN 0 THEN '1O' || p_partkey % 40 || 'S' WHEN 1 THEN 'K8L' || p_partkey % 90 WHEN 2 THEN '粱' || p_partkey % 7 || '住' WHEN 3 THEN p_partkey % 300 || 'l' || p_partkey % 11 ELSE 'A|B' END"
+    ),
+    "respelt_texts": f"""WITH RECURSIVE pairs(i, w, r) AS (VALUES {_PAIRS(_SPELLINGS)}), p AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'K2 ' || p_partkey % 50 WHEN 1 THEN 'φ' || (p_partkey % 20 + 6) || 'a' || p_partkey % 9 * 50
+        WHEN 2 THEN p_partkey % 90 || 'x' || p_partkey % 70 || 'rnm' WHEN 3 THEN string_split('I O G c 17 MPA JO1 K乙3', ' ')[p_partkey % 8 + 1] WHEN 4 THEN 'g' || p_partkey % 60 ELSE 'GL1 / W0 ' || p_partkey % 30 END AS text FROM part),
+      s AS (SELECT DISTINCT text, text AS t, 0 AS k FROM p UNION ALL SELECT text, CASE WHEN t = w OR length(w) > 1 THEN replace(t, w, r) ELSE t END, k + 1 FROM s JOIN pairs ON i = k)
+      SELECT p_partkey, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([KGJLWSZBC])([Z|L|C|Q|T])[-\\s]*([0-9]+)', '\\1\\2-\\3', 'g'), '[ΦφO0]([0-9]+)[@aA&]([0-9]+)', 'Φ\\1@\\2', 'g'),
+        '([0-9]+)[x×*]([0-9]+)', '\\1×\\2', 'g'), '[CcGg]([0-9]+)', 'C\\1', 'g') AS respelt FROM p JOIN s USING (text) WHERE k = {len(_SPELLINGS)}""",
     "tile_defaults": f"""WITH {REGIONS_SQL} SELECT id, (x1 + coalesce(ox, 0))::INT AS moved, CASE WHEN ox IS NULL THEN 0 ELSE x1 + ox END::INT AS marked, CASE WHEN ox IS NULL THEN x1 ELSE round(greatest(0, least(x1 + ox, 2000)), 2) END::DOUBLE AS clamped,
       CASE WHEN ox IS NULL THEN 1024 ELSE 500 END::INT AS side FROM r LEFT JOIN ({_TILE}) t ON t.row = id % 6 AND t.col = id % 5""",
     "known_tiles_only": f"WITH {REGIONS_SQL} SELECT row, col, count(*) AS n, min(ox) AS ox FROM r JOIN ({_TILE}) t ON t.row = id % 6 AND t.col = id % 5 GROUP BY ALL",

@@ -1,25 +1,60 @@
 """Corrections by dictionary, packed keys and tile look-ups on small cases with nulls, ties and empty texts."""
 
+import random
+import re
 from difflib import SequenceMatcher
 
-import pytest
 from pyspark.sql import functions as F
 
 from graniteflow.functions import correction as c
 from graniteflow.functions.keys import falling, packed, unpacked
 
 
-@pytest.mark.parametrize(
-    "text,want,kinds",
-    [
-        ("KLL3", "KL-3", ["component_code"]), ("KL3", "KL3", []), ("200 x 300mm", "200×300", ["dimension"]), ("c30", "CL-30", ["component_code"]),
-        ("HRB401", "HRB400", ["steel_grade"]), ("", "", []), ("施工图", "施工图", []), ("99 ~", "99 ~", []),
-    ],
-)
-def test_corrected(text, want, kinds):
-    out = c.corrected(text, 0.5)
-    assert (out[0], [k for k in out[1] if k in kinds or not kinds]) == (want, kinds)
-    assert out[2] == 0.5 if not kinds else 0.1 <= out[2] <= 0.99
+CASES = [
+    ("KLL3", "KL-3", ["component_code"], 0.7), ("KL3", "KL3", [], 0.5), ("200 x 300mm", "200×300", ["dimension"], 0.725), ("c30", "CL-30", ["component_code"], 0.7), ("HRB401", "HRB400", ["steel_grade"], 0.65), ("", "", [], 0.5),
+    ("施工图", "施工图", [], 0.5), ("99 ~", "99 ~", [], 0.5), (None, None, [], 0.5), ("300*400*50 9×9m KLL1 KLL1", "300×400×50 9×9 KL-1 KL-1", ["component_code", "component_code", "dimension", "dimension"], 0.7125),
+    ("钢筯混凝土", "钢筋混凝土", ["professional_term"], 0.65), ("x机械联接 机械联接", "x机械连接 机械联接", ["professional_term"], 0.625),
+]
+
+
+def test_corrections(spark):
+    rows = spark.createDataFrame([(i, text, 0.5, "own") for i, (text, *_) in enumerate(CASES)], "id int, text string, confidence double, kinds_ string")
+    found = {r["id"]: r for r in c.with_corrections(rows, steps=c.STEPS[:4]).collect()}
+    for i, (text, want, kinds, sure) in enumerate(CASES):
+        kept = [k for k in found[i]["kinds"]]
+        assert (found[i]["corrected"], kept) == (want, kinds), text
+        assert abs(found[i]["corrected_confidence"] - sure) < 1e-9, text
+    assert c.with_corrections(rows.limit(0)).count() == 0
+
+
+def test_all_steps(spark):
+    rows = spark.createDataFrame([("粱", 0.5), ("c30", 0.5), ("1O0", 0.5)], "text string, confidence double")
+    found = [tuple(r) for r in c.with_corrections(rows).select("corrected", "kinds").collect()]
+    assert found == [("梁", ["character_error"]), ("GL-30", ["component_code", "character_error"]), ("100", ["character_error"])]
+
+
+def test_steps_alone(spark):
+    rows = spark.createDataFrame([("c30 Q2355", 0.9), ("C305 hrb400", 1.0)], "text string, confidence double")
+    found = [tuple(r) for r in c.with_corrections(rows, steps=(c._grades,)).select("corrected", "kinds").collect()]
+    assert found == [("C30 Q235", ["concrete_grade", "steel_grade"]), ("C30 HRB400", ["concrete_grade", "steel_grade"])]
+
+
+def test_near_misses_are_those_of_the_ratio():
+    rnd = random.Random(5)
+    for term in (t for t in c.TERMS if len(t) > 3):
+        pattern = re.compile(c.near_miss(term))
+        for _ in range(3000):
+            window = "".join(rnd.choice(term + "甲乙") if rnd.random() < 0.3 else term[min(i, len(term) - 1)] for i in range(len(term)))
+            if rnd.random() < 0.3:
+                window = (rnd.choice("甲乙") + term)[: len(term)] if rnd.random() < 0.5 else term[1:] + rnd.choice("甲乙")
+            if len(set(window)) == len(window):
+                assert bool(pattern.fullmatch(window)) == (c.TERM_LEAST < SequenceMatcher(None, window, term).ratio() < 1), (term, window)
+
+
+def test_respelt(spark):
+    cases = {"XZ12": "KZ-2", "I": "1", "AI": "AI", "rnm": "mm", "φ12a200": "Φ12@200", "G30": "C30", "3x4": "3×4", "": "", "G": "C", "none": "none"}
+    rows = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", c.respelt(F.col("t")).alias("r")).collect()
+    assert {r["t"]: r["r"] for r in rows} == cases | {None: None}
 
 
 def test_nearest_takes_the_first_of_the_best():
@@ -32,8 +67,7 @@ def test_nearest_takes_the_first_of_the_best():
 
 def test_columns(spark):
     rows = spark.createDataFrame([("KLL3", 0.2), (None, 0.4), ("", 0.6)], "t string, c double")
-    out = rows.select(c.correction("t", "c").alias("x"), c.matching_ratio("t", F.lit("KL3")).alias("r"), c.nearest_entry(c.STEEL, 0.7)("t").alias("n")).collect()
-    assert [r["x"]["corrected"] for r in out] == ["KL-3", None, ""] and [r["x"]["confidence"] for r in out][1:] == [0.4, 0.6]
+    out = rows.select(c.matching_ratio("t", F.lit("KL3")).alias("r"), c.nearest_entry(c.STEEL, 0.7)("t").alias("n")).collect()
     assert abs(out[0]["r"] - SequenceMatcher(None, "KLL3", "KL3").ratio()) < 1e-12 and out[1]["r"] is None and [r["n"] for r in out] == [None] * 3
 
 
