@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from graniteflow.plans import content, events, exports, fusion, layout, ledgers, lists, marks, matching, merging, monitoring, nested, payloads, quantities, records, regions, rollups, shapes, takeoff, tiers, tiling
+from graniteflow.plans import content, events, exports, fusion, layout, ledgers, lists, marks, matching, merging, monitoring, nested, payloads, quantities, records, regions, rollups, rules, shapes, takeoff, tiers, tiling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (takeoff, rollups, events, layout, records, content, matching, quantities, marks, tiling, merging, tiers, nested, lists, monitoring, regions, exports, payloads, ledgers, fusion, shapes):
+for _module in (takeoff, rollups, events, layout, records, content, matching, quantities, marks, tiling, merging, tiers, nested, lists, monitoring, regions, exports, payloads, ledgers, fusion, shapes, rules):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
