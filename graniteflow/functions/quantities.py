@@ -68,14 +68,15 @@ def dimension(values: Column, name: str) -> Column:
     return F.when(found > LARGEST_METRES, found / 1000).otherwise(found)
 
 
+def with_sides(found: dict[str, Column], parts: Column) -> dict[str, Column]:
+    """Dimensions with width and height in millimetres from the two parts of a 'bxh', where neither is given."""
+    pair = (F.size(parts) == 2) & found["width"].isNull() & found["height"].isNull()
+    return found | {name: F.when(pair, number(F.get(parts, F.lit(at))) / 1000).otherwise(found[name]) for at, name in enumerate(("width", "height"))}
+
+
 def dimensions(values: Column) -> dict[str, Column]:
     """All dimensions of a map of strings; width and height may come as 'bxh' in millimetres, where neither is given."""
-    found = {name: dimension(values, name) for name in ALIASES}
-    parts = F.split(values["bxh"], "x")
-    pair = (F.size(parts) == 2) & found["width"].isNull() & found["height"].isNull()
-    for at, name in enumerate(("width", "height")):
-        found[name] = F.coalesce(found[name], F.when(pair, number(F.get(parts, F.lit(at))) / 1000))
-    return found
+    return with_sides({name: dimension(values, name) for name in ALIASES}, F.split(values["bxh"], "x"))
 
 
 def take_off(kind: Column, dims: dict[str, Column], count: Column) -> Column:

@@ -34,10 +34,17 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "name", dims.alias("dims"), (F.col("l_linenumber") % 3 + 1).cast("double").alias("pieces"))
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """df with a column that later expressions name without computing it again: explode over an array of one isn't merged with them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def quantity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume and area of every line item by its type's take-off rule; null where a needed dimension is missing."""
-    kind = q.component_type(F.col("name"))
-    rows = measured(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", kind.alias("kind"), q.take_off(kind, q.dimensions(F.col("dims")), F.col("pieces")).alias("_q"), "pieces")
+    rows = once(measured(spark, sf_dir).withColumnRenamed("dims", "_given"), F.col("_given"), "dims")
+    rows = rows.withColumns({name: q.dimension(F.col("dims"), name) for name in q.ALIASES} | {"bxh": F.split(F.col("dims")["bxh"], "x"), "kind": q.component_type(F.col("name"))})
+    names = {name: F.col(name) for name in q.ALIASES}
+    rows = rows.withColumns(q.with_sides(names, F.col("bxh"))).select("l_orderkey", "l_linenumber", "l_partkey", "kind", q.take_off(F.col("kind"), names, F.col("pieces")).alias("_q"), "pieces")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "kind", F.round("_q.volume", 9).alias("volume"), F.round("_q.area", 9).alias("area"), "pieces")
 
 
