@@ -8,8 +8,18 @@ from pyspark.sql import functions as F
 _WIDE = "decimal(38,0)"
 
 
+def below(value: Column, most: int) -> Column:
+    """value; an error where it isn't from 0 up to, and without, ``most``, as it would run over into what stands above it. Null stays null."""
+    return F.when((value >= 0) & (value < most), value).when(value.isNotNull(), F.raise_error(F.concat(F.lit(f"key part not below {most}: "), value.cast("string"))))
+
+
 def packed(*parts: tuple[Column, int]) -> Column:
-    """(value, digits) pairs, the first counting most; values are whole, not negative and below 10**digits, 30 digits in all at most."""
+    """(value, digits) pairs, the first counting most; values are whole, not negative and below 10**digits (else an error), 37 digits in all at most, or 30 if it is unpacked again.
+
+    A null part makes the key null, so such a row wins nothing.
+    """
+    if sum(digits for _, digits in parts) > 37:
+        raise ValueError("a key has 37 digits at most")
     out = F.lit(0).cast(_WIDE)
     for value, digits in parts:
         out = (out * F.lit(10**digits).cast(_WIDE)).cast(_WIDE) + value.cast(_WIDE)

@@ -57,9 +57,9 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last status of each user by (ts, event_id): one packed number, whose maximum combines before the shuffle."""
     names = list(STATUS.values())
     code = F.coalesce(F.array_position(F.array(*map(F.lit, names)), F.col("status")), F.lit(0))
-    key = packed((F.unix_micros(F.col("ts").cast("timestamp")), 17), (F.col("event_id"), 11), (code, 1))
+    key = packed((F.unix_micros(F.col("ts").cast("timestamp")), 17), (F.col("event_id"), 12), (code, 1))
     last = events(spark, sf_dir).groupBy("user_id").agg(F.max(key).alias("_k"), F.count("*").alias("n"))
-    micros, _, code = unpacked(F.col("_k"), 17, 11, 1)
+    micros, _, code = unpacked(F.col("_k"), 17, 12, 1)
     ts = F.timestamp_micros(micros)
     ts = ts.cast("timestamp_ntz") if dict(events(spark, sf_dir).dtypes)["ts"] == "timestamp_ntz" else ts
     return last.select("user_id", F.get(F.array(*map(F.lit, names)), (code - 1).cast("int")).alias("status"), ts.alias("ts"), "n")

@@ -129,10 +129,10 @@ def component_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty first codes in natural order, where runs of digits count as numbers; a top-k report."""
+    """All codes in natural order, where runs of digits count as numbers; the sort deals them to tasks by ranges."""
     runs = F.regexp_extract_all(F.col("code"), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
     order = F.transform(runs, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(x, 20, "0")).otherwise(F.lower(x)))
-    return marked(spark, sf_dir).orderBy(F.array_join(order, ""), "p_partkey").limit(20).select("p_partkey", "code")
+    return marked(spark, sf_dir).orderBy(F.array_join(order, ""), "p_partkey").select("p_partkey", "code")
 
 
 QUERIES = {
@@ -218,5 +218,5 @@ ORACLES = {
     "component_keys": f"""WITH {_M}, d AS (SELECT *, concat_ws('_', 'height' || p_size::INT, CASE WHEN p_size::INT % 5 != 0 THEN 'width' || p_size::INT % 5 END) AS held FROM m)
       SELECT p_partkey, CASE WHEN p_partkey % 7 != 0 THEN 'id_' || code ELSE replace(lower(p_type || '_' || held || '_' || CASE WHEN p_partkey % 14 = 0 THEN trunc((p_partkey - 250) / 100)::BIGINT * 100 || '_' || trunc(p_partkey / 100)::BIGINT * 100 ELSE 'nopos' END), ' ', '_') END AS key,
         held AS dims, md5(concat(p_name, '|', CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'None' END, '|', p_size::INT)) AS signature, 'drawings/' || md5(code) || '.pdf' AS path, replace(p_name, ' ', '_') || '_a_b' AS name FROM d""",
-    "natural_order": f"""WITH {_M} SELECT p_partkey, code FROM m ORDER BY array_to_string(list_transform(regexp_extract_all(code, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE lower(x) END), ''), p_partkey LIMIT 20""",
+    "natural_order": f"""WITH {_M} SELECT p_partkey, code FROM m ORDER BY array_to_string(list_transform(regexp_extract_all(code, '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE lower(x) END), ''), p_partkey""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteflow.functions import geometry as g
 from graniteflow.functions import marks as m
+from graniteflow.functions.keys import below
 from graniteflow.functions.text import letters_alike
 from graniteflow.operators.greedy import cut, greedy_match, greedy_selection, meeting, overlap_edges, seed_groups
 from graniteflow.plans.tiling import PAIRS_SQL, REGIONS_SQL, regions
@@ -15,9 +16,14 @@ from graniteflow.plans.tiling import PAIRS_SQL, REGIONS_SQL, regions
 STEP = 1_000_000_000_000
 
 
+def small_id() -> Column:
+    """The id; an error where it is too large for a key."""
+    return below(F.col("id"), STEP)
+
+
 def surest_first(rows: DataFrame) -> DataFrame:
     """Regions numbered so that the order of ids is that of falling confidence; own keeps the id."""
-    return rows.withColumn("own", F.col("id")).withColumn("id", (1000 - F.col("conf")) * F.lit(STEP) + F.col("id"))
+    return rows.withColumn("own", F.col("id")).withColumn("id", (1000 - F.col("conf")) * F.lit(STEP) + small_id())
 
 
 def kept_regions(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,7 +56,7 @@ def greedy_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = m.wide_type(F.col("text"))
     rows = regions(spark, sf_dir).withColumns({"type": kind, "edge": F.col("id") % 4 == 0, "own": F.col("id")})
-    return rows.withColumn("id", (1000 - F.col("conf")) * F.lit(STEP) + (10 - m.importance(F.col("type"))) * F.lit(STEP // 100) + F.col("id"))
+    return rows.withColumn("id", (1000 - F.col("conf")) * F.lit(STEP) + (10 - m.importance(F.col("type"))) * F.lit(STEP // 100) + below(F.col("id"), STEP // 100))
 
 
 def smart_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +159,7 @@ def fused_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = facts.select("seed", "n", kind.alias("conflict"), "vision")
     both = rows.join(facts, "seed")
     first = F.when(F.col("conflict") == "spatial", F.col("coordinates")).when(F.col("conflict") == "attribute", F.col("attributes")).when(F.col("conflict") == "semantic", (F.col("source") == "vision").cast("int")).otherwise(0)
-    key = (first.cast("long") * 1001 + F.col("conf")) * F.lit(STEP) + (F.lit(STEP) - 1 - F.col("id"))
+    key = (first.cast("long") * 1001 + F.col("conf")) * F.lit(STEP) + (F.lit(STEP) - 1 - small_id())
     best = both.groupBy("seed").agg(F.max(key).alias("_key"))
     winner = best.select((F.lit(STEP) - 1 - F.col("_key") % F.lit(STEP)).alias("id"))
     boost = F.when(F.col("conflict") == "spatial", 0.05).when(F.col("conflict") == "attribute", 0.03).when(F.col("conflict") == "semantic", F.when(F.col("vision") > 0, 0.08).otherwise(0.02)).otherwise(0.0)
@@ -219,7 +225,7 @@ def validation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of a sheet with one text: pieces (1 where unknown), the first one's place, sources, hull, surest and longest values."""
     pieces = F.when(F.col("id") % 4 == 0, 1).otherwise(F.col("size"))
-    long_first = (F.length("material").cast("long") * F.lit(STEP)) + (F.lit(STEP) - 1 - F.col("id"))
+    long_first = (F.length("material").cast("long") * F.lit(STEP)) + (F.lit(STEP) - 1 - small_id())
     rows = regions(spark, sf_dir).groupBy("grp", "text").agg(
         F.count("*").alias("n"), F.sum(pieces).cast("long").alias("pieces"), F.min("id").alias("first"), F.min_by("x1", "id").alias("x"), F.count_distinct(F.col("id") % 3).alias("sources"),
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.max("conf").alias("conf"), (F.lit(STEP) - 1 - F.max(long_first) % F.lit(STEP)).alias("longest"),
@@ -231,7 +237,7 @@ def keyed_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def most_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each sheet's records the one with most known values, then most keys, then the first."""
     known = (F.col("size") % 4).cast("int") + (F.col("kind") != "ECONOMY").cast("int")
-    key = (known.cast("long") * 10 + F.col("size") % 4) * F.lit(STEP) + (F.lit(STEP) - 1 - F.col("id"))
+    key = (known.cast("long") * 10 + F.col("size") % 4) * F.lit(STEP) + (F.lit(STEP) - 1 - small_id())
     best = regions(spark, sf_dir).groupBy("sheet").agg(F.max(key).alias("_k"), F.count("*").alias("n"))
     return best.select("sheet", (F.lit(STEP) - 1 - F.col("_k") % F.lit(STEP)).alias("id"), F.floor(F.col("_k") / F.lit(STEP * 10)).cast("int").alias("known"), "n")
 

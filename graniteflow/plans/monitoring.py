@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteflow.plans.events import STATUS_SQL, events
+from graniteflow.functions.keys import packed
 from graniteflow.session import table
 
 #: The time of report, given in so that results don't depend on the clock, and hours that a window looks back.
@@ -72,11 +73,9 @@ def metric_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each event type mean, extremes and the latest reading, the latest by time, then id."""
-    latest = F.max(F.unix_micros("ts").cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)") + F.col("event_id").cast("decimal(12,0)"))
-    rows = stamped(spark, sf_dir)
-    sums = rows.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), latest.alias("_l"))
-    last = sums.select("*", F.pmod("_l", F.lit(10**12).cast("decimal(13,0)")).cast("long").alias("event_id"))
-    return last.join(rows.select("event_id", F.col("value").alias("latest")), "event_id").select("event_type", "mean", "least", "most", "latest")
+    latest = F.max_by("value", packed((F.unix_micros("ts"), 17), (F.col("event_id"), 18)))
+    sums = [F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), latest.alias("latest")]
+    return stamped(spark, sf_dir).groupBy("event_type").agg(*sums)
 
 
 def task_life(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,9 +40,9 @@ def adaptive_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty first sheets by priority, then number; a top-k report."""
+    """All sheets by priority, then number."""
     rank = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
-    return sheets(spark, sf_dir).select("p_partkey", g.priority(F.col("density")).alias("priority")).orderBy(rank, "p_partkey").limit(50)
+    return sheets(spark, sf_dir).select("p_partkey", g.priority(F.col("density")).alias("priority")).orderBy(rank, "p_partkey")
 
 
 def sheet_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ ORACLES = {
       CASE WHEN c > 0 THEN 204 ELSE 0 END AS left, CASE WHEN r > 0 THEN 204 ELSE 0 END AS top, CASE WHEN c < nx - 1 THEN 204 ELSE 0 END AS right, CASE WHEN r < ny - 1 THEN 204 ELSE 0 END AS bottom
       FROM p, unnest(range(ny)) AS rr(r), unnest(range(nx)) AS cc(c)""",
     "adaptive_strategy": f"WITH {_A} SELECT b.p_partkey, kind, size, overlap, coalesce(n, 0)::INT AS n, coalesce(pixels, 0)::BIGINT AS pixels, {_PRIORITY} AS priority FROM b LEFT JOIN k USING (p_partkey)",
-    "priority_order": f"WITH {_S} SELECT p_partkey, {_PRIORITY} AS priority FROM s ORDER BY CASE {_PRIORITY} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, p_partkey LIMIT 50",
+    "priority_order": f"WITH {_S} SELECT p_partkey, {_PRIORITY} AS priority FROM s ORDER BY CASE {_PRIORITY} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, p_partkey",
     "sheet_checks": f"""WITH {_S} SELECT p_partkey, concat_ws(',', CASE WHEN w > 2048 THEN 'width' END, CASE WHEN h > 2048 THEN 'height' END, CASE WHEN bytes > 1572864 THEN 'size' END) AS reasons,
       CASE p_partkey % 10 WHEN 0 THEN true WHEN 1 THEN false ELSE p_partkey % 3 != 0 AND greatest(w, h) > 2048 END AS sliced,
       least(10.0, CASE WHEN w::BIGINT * h > 50000000 THEN 4 WHEN w::BIGINT * h > 20000000 THEN 3 WHEN w::BIGINT * h > 8000000 THEN 2 WHEN w::BIGINT * h > 2000000 THEN 1 ELSE 0 END

@@ -4,6 +4,7 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from graniteflow.functions import correction as c
@@ -77,3 +78,12 @@ def test_packed_keys_keep_order_and_values(spark):
     a, b, d = unpacked(F.col("k"), 2, 16, 1)
     out = df.orderBy("k").select("a", "b", "d", a.alias("x"), b.alias("y"), falling(d, 1).alias("z")).collect()
     assert [tuple(r)[:3] for r in out] == sorted(rows, key=lambda r: (r[0], r[1], -r[2])) and all(tuple(r)[:3] == tuple(r)[3:] for r in out)
+
+
+def test_keys_that_run_over_are_errors(spark):
+    df = spark.createDataFrame([(10**11 + 5,)], "a long")
+    with pytest.raises(Exception, match="key part not below"):
+        df.select(packed((F.col("a"), 11), (F.lit(1), 1)).alias("k")).collect()
+    assert df.select(packed((F.lit(None).cast("long"), 3)).alias("k")).first()["k"] is None
+    with pytest.raises(ValueError, match="37 digits"):
+        packed((F.col("a"), 30), (F.col("a"), 8))
