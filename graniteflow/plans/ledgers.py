@@ -9,16 +9,23 @@ from graniteflow.session import table
 from graniteflow.streaming.ledgers import error_records_of_table, task_history_of_table
 
 
+def _as_given(df: DataFrame, events: DataFrame, *times: str) -> DataFrame:
+    """Times without a zone where the table's have none."""
+    return df.withColumns({t: F.col(t).cast(dict(events.dtypes)["ts"]) for t in times})
+
+
 def error_record_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of a signature within two hours of one another as one record: first and last time and number."""
-    return error_records_of_table(table(spark, sf_dir, "events"), 1)
+    events = table(spark, sf_dir, "events")
+    return _as_given(error_records_of_table(events, 1), events, "first_seen", "last_seen")
 
 
 def bounded_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each user the newest ten ended tasks within 72 hours of the newest, and how many there were in all."""
     status = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "failure").when(F.col("event_type") == "signup", "revoked").otherwise("started")
-    tasks = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("task"), status.alias("status"), "ts")
-    return task_history_of_table(tasks, 10, 72).withColumn("tasks", F.concat_ws(",", "tasks"))
+    events = table(spark, sf_dir, "events")
+    tasks = events.select(F.col("user_id").alias("user"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("task"), status.alias("status"), "ts")
+    return _as_given(task_history_of_table(tasks, 10, 72).withColumn("tasks", F.concat_ws(",", "tasks")), events, "oldest", "newest")
 
 
 QUERIES = {f.__name__: f for f in (error_record_list, bounded_history)}
