@@ -22,7 +22,7 @@ def packed(*parts: tuple[Column, int]) -> Column:
         raise ValueError("a key has 37 digits at most")
     out = F.lit(0).cast(_WIDE)
     for value, digits in parts:
-        out = (out * F.lit(10**digits).cast(_WIDE)).cast(_WIDE) + value.cast(_WIDE)
+        out = (out * F.lit(10**digits).cast(_WIDE)).cast(_WIDE) + below(value, 10**digits).cast(_WIDE)
     return out.cast(_WIDE)
 
 
