@@ -163,6 +163,15 @@ def adaptive_tiles(width: Column, height: Column, density: Column) -> Column:
     return F.filter(every, lambda t: (t["width"] >= F.floor(size / 2)) & (t["height"] >= F.floor(size / 2)))
 
 
+def adaptive_count(width: Column, height: Column, density: Column) -> Column:
+    """n and pixels of the tiles of ``adaptive_tiles``, without making them: along a side of a tile's length or more all tiles are whole; along a shorter one there is one, if half a tile fits."""
+    plan = adaptive_size(width, height, density)
+    size, overlap = plan["size"], plan["overlap"]
+    along = lambda side: F.when(side >= size, F.floor((side - overlap) / (size - overlap))).when(side >= F.floor(size / 2), 1).otherwise(0)
+    n = along(width) * along(height)
+    return F.struct(n.cast("int").alias("n"), (n * F.least(size, width) * F.least(size, height)).cast("long").alias("pixels"))
+
+
 def priority(density: Column) -> Column:
     return F.when(density > 0.1, "high").when(density > 0.05, "medium").otherwise("low")
 

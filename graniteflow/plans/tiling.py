@@ -35,8 +35,7 @@ def tile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adaptive_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each sheet's strategy and how many tiles it gives, by priority of its density."""
     w, h, d = F.col("w"), F.col("h"), F.col("density")
-    rows = sheets(spark, sf_dir).select("p_partkey", g.adaptive_size(w, h, d).alias("_s"), g.adaptive_tiles(w, h, d).alias("_t"), g.priority(d).alias("priority"))
-    return rows.select("p_partkey", "_s.*", F.size("_t").alias("n"), F.coalesce(F.aggregate("_t", F.lit(0).cast("long"), lambda n, t: n + t["width"] * t["height"]), F.lit(0)).alias("pixels"), "priority")
+    return sheets(spark, sf_dir).select("p_partkey", g.adaptive_size(w, h, d).alias("_s"), g.adaptive_count(w, h, d).alias("_t"), g.priority(d).alias("priority")).select("p_partkey", "_s.*", "_t.*", "priority")
 
 
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
