@@ -141,26 +141,32 @@ class MediaReader(DataSourceReader):
                 members, error = [i for i in zipfile.ZipFile(opened).infolist() if span.low <= i.header_offset < span.high], None
                 break
             except (OSError, ValueError, struct.error, zipfile.BadZipFile, NotImplementedError) as e:
-                error = f"{type(e).__name__}: {e}"
+                error, opened = f"{type(e).__name__}: {e}", self.closed(opened)
         if error and not span.low:
             rows.append((None, span.path, None, None, error))
         for info in members:
             media, error = None, None
             for _ in range(1 + self.retries):
                 try:
+                    opened = opened or system.open_input_file(span.path)  # opening again is a try like any other
                     media, error = self.fetch(opened, info), None
                     break
                 except (OSError, ValueError, struct.error) as e:
-                    error = f"{type(e).__name__}: {e}"
-                    opened = system.open_input_file(span.path)
+                    error, opened = f"{type(e).__name__}: {e}", self.closed(opened)
             rows.append((info.filename, span.path, info.header_offset, media, error))
             held += len(media or b"")
             if held >= self.batch:
                 yield self.batch_of(rows)
                 rows, held = [], 0
+        self.closed(opened)
         if rows:
             yield self.batch_of(rows)
 
+    @staticmethod
+    def closed(opened) -> None:
+        if opened is not None:
+            opened.close()
+
     @staticmethod
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)

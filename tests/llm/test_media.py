@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
@@ -70,3 +71,38 @@ def test_damaged_archive_and_foreign_members_leave_the_others(spark):
     assert sorted(r["doc_id"] for r in out if r["error"] is None) == [*range(20), 77]
     bad = [r for r in out if r["error"]]
     assert len(bad) == 2 and all(r["doc_id"] is None and r["n_bytes"] is None for r in bad)
+
+
+def test_reopening_that_fails_costs_a_try_not_the_task(tmp_path, monkeypatch):
+    import zipfile
+
+    from graniteflow.llm import media
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        for name in ("one", "two", "three"):
+            archive.writestr(name, name.encode() * 10)
+    reader, opened, system = media.MediaReader({"path": f"file://{tmp_path}"}), [], media.fs.LocalFileSystem()
+
+    class Flaky:
+        """The first read of a member fails, and so does the next opening."""
+
+        def open_input_file(self, path):
+            if len(opened) == 1:
+                opened.append(None)
+                raise OSError("not now")
+            opened.append(system.open_input_file(path))
+            return opened[-1]
+
+    monkeypatch.setattr(media, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda uri: (Flaky(), uri))))
+    fetch, calls = reader.fetch, []
+
+    def once(file, info):
+        calls.append(info.filename)
+        if len(calls) == 1:
+            raise OSError("lost")
+        return fetch(file, info)
+
+    monkeypatch.setattr(reader, "fetch", once)
+    rows = [r for batch in reader.read(media.Span(str(tmp_path / "a.zip"), 0, 1 << 20)) for r in batch.to_pylist()]
+    assert [(r["member"], r["media"], r["error"]) for r in rows] == [(n, n.encode() * 10, None) for n in ("one", "two", "three")]
+    assert all(f.closed for f in opened if f is not None)
