@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteflow.functions.geometry import cells, iou
@@ -21,14 +21,20 @@ from graniteflow.functions.geometry import cells, iou
 ALONE = 200_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows without their lineage, kept in ``spark.checkpoint.dir`` (set only where it is unset, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir`` (set only where it is unset, as in tests)."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(found or tempfile.mkdtemp(prefix="graniteflow-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows without their lineage, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
