@@ -70,6 +70,16 @@ def export_all(rows: DataFrame, folder: str, forms: list[str]) -> list[dict]:
     return out
 
 
+def export_sheets(rows: DataFrame, folder: str, books: str) -> None:
+    """Writes rows of workbooks (``books``, sheet, place, cells) as lines of cells, a folder for each sheet's name.
+
+    Rows are range-partitioned by book, sheet and place, so a sheet of any length is spread; its lines are in order
+    in a file, and its files in the order of their names.
+    """
+    order = [books, "sheet", "place"]
+    rows.repartitionByRange(*order).sortWithinPartitions("sheet", books, "place").select(books, "sheet", "place", "cells").write.mode("errorifexists").partitionBy("sheet").csv(folder)
+
+
 def report_lines(rows: DataFrame, title: str) -> DataFrame:
     """Rows as lines of a report, ``column: value`` joined by semicolons, under a title: a column value, in two partitions at least."""
     line = F.concat_ws("; ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("-"))) for c in rows.columns])
