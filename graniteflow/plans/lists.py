@@ -9,6 +9,8 @@ from graniteflow.session import table
 
 #: Columns that a patch may change.
 PATCHABLE = ("o_totalprice", "o_orderstatus")
+#: Most ids in one deletion.
+DELETED = 20
 
 
 def paged_totals(spark: SparkSession, sf_dir: str, status: str = "F", page: int = 3, size: int = 25) -> DataFrame:
@@ -53,6 +55,32 @@ def deleted_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(gone, "o_custkey", "left_anti").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+def deletion(rows: DataFrame, ids: tuple[int | None, ...], key: str, busy: str) -> tuple[DataFrame, DataFrame]:
+    """What is left of ``rows`` after those with these ids are deleted, and what became of each id as asked for, in order.
+
+    Ids that no row has are errors, and so are those of rows for which ``busy`` holds, which stay. More than DELETED ids, as
+    given, are refused before anything is read. A repeated id is answered each time as the first; a null one is not found.
+    """
+    if len(ids) > DELETED:
+        raise ValueError(f"more than {DELETED} ids")
+    asked = rows.sparkSession.createDataFrame(list(enumerate(ids)), f"place int, {key} long")
+    wanted = [i for i in set(ids) if i is not None]
+    held = rows.where(F.col(key).isin(wanted)).groupBy(key).agg(F.max(F.coalesce(F.expr(busy), F.lit(False))).alias("_busy"))  # DELETED rows at most
+    state = F.when(F.col("_busy").isNull(), "not found").when(F.col("_busy"), "being processed")
+    report = asked.join(held, key, "left").select("place", key, F.when(state.isNull(), "success").otherwise("error").alias("status"), state.alias("message"))
+    return rows.join(F.broadcast(held.where("NOT _busy").select(key)), key, "left_anti"), report
+
+
+def deletion_report(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (3, 0, 1, 10**12, 3, 4, -7)) -> DataFrame:
+    """What became of each id of a deletion of orders: orders in progress stay, unknown ids are errors."""
+    return deletion(table(spark, sf_dir, "orders"), ids, "o_orderkey", "o_orderstatus = 'P'")[1]
+
+
+def left_after_deletion(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (3, 0, 1, 10**12, 3, 4, -7)) -> DataFrame:
+    """Orders that a deletion leaves."""
+    return deletion(table(spark, sf_dir, "orders"), ids, "o_orderkey", "o_orderstatus = 'P'")[0].select("o_orderkey", "o_orderstatus")
+
+
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of three sources under one schema, tagged by source, counted by nation."""
     named = lambda name, key, nation: table(spark, sf_dir, name).select(F.col(nation).alias("nation"), F.col(key).alias("key"), F.lit(name).alias("source"))
@@ -134,7 +162,7 @@ def source_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        paged_totals, customer_page, point_lookup, composite_lookup, patch_report, deleted_by_ids, union_sources, missing_both_ways, id_agreement, id_match, three_way_first, stage_synthesis,
+        paged_totals, customer_page, point_lookup, composite_lookup, patch_report, deleted_by_ids, deletion_report, left_after_deletion, union_sources, missing_both_ways, id_agreement, id_match, three_way_first, stage_synthesis,
         status_reconciliation, cache_tiers, source_advice,
     )
 }
@@ -147,6 +175,9 @@ ORACLES = {
     "patch_report": """SELECT coalesce(o.o_orderkey, p.k) AS o_orderkey, coalesce(p.s, o_orderstatus) AS status, coalesce(p.price, o_totalprice) AS price, p.k IS NOT NULL AS patched, CASE WHEN o.o_orderkey IS NULL THEN 'unknown id' END AS error
       FROM orders o FULL JOIN (SELECT CASE WHEN c_custkey % 5 = 0 THEN -c_custkey ELSE c_custkey * 4 END AS k, 'P' AS s, CASE WHEN c_custkey % 2 = 0 THEN 1.5 END::DOUBLE AS price FROM customer) p ON p.k = o.o_orderkey""",
     "deleted_by_ids": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) GROUP BY 1",
+    "deletion_report": """SELECT (place - 1)::INT AS place, o_orderkey, CASE WHEN o_orderstatus IS NULL OR o_orderstatus = 'P' THEN 'error' ELSE 'success' END AS status, CASE WHEN o_orderstatus IS NULL THEN 'not found' WHEN o_orderstatus = 'P' THEN 'being processed' END AS message
+      FROM (SELECT unnest(range(1, 8)) AS place, unnest([3, 0, 1, 1000000000000, 3, 4, -7])::BIGINT AS o_orderkey) LEFT JOIN orders USING (o_orderkey)""",
+    "left_after_deletion": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey NOT IN (3, 0, 1, 1000000000000, 4, -7) OR o_orderstatus = 'P'",
     "union_sources": """SELECT nation, source, count(*) AS n, min(key) AS least FROM (SELECT c_nationkey AS nation, c_custkey AS key, 'customer' AS source FROM customer UNION ALL SELECT s_nationkey, s_suppkey, 'supplier' FROM supplier
       UNION ALL SELECT n_nationkey, n_nationkey, 'nation' FROM nation) GROUP BY ALL""",
     "missing_both_ways": """SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'owner_only' ELSE 'part_only' END AS side FROM (SELECT DISTINCT o_custkey AS id FROM orders) a FULL JOIN (SELECT DISTINCT l_partkey AS id FROM lineitem) b ON a.id = b.id

@@ -50,6 +50,20 @@ def error_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupingSets([["category"], ["level"], []], "category", "level").agg(F.count("*").alias("n"), F.count_distinct("k").alias("kinds"), F.max("ts").alias("last_ts"))
 
 
+def error_statistics(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
+    """Errors of the window: their number, that of each kind, and the messages that are most frequent, ``most`` of them; that limit is the feature.
+
+    One aggregate by kind and message, before anything is sorted; ties go to the message that came first, by time and id.
+    """
+    rows = stamped(spark, sf_dir).where("event_type = 'error'").where(F.col("ts") >= now() - F.expr(f"INTERVAL {HOURS} HOURS"))
+    message = F.when(F.col("k") % 10 != 0, F.concat_ws(" ", "category", "level", F.col("k") % 17))
+    first = packed((F.unix_micros("ts"), 17), (F.col("event_id"), 13))
+    held = rows.groupBy(F.coalesce("category", F.lit("unknown")).alias("name"), message.alias("message")).agg(F.count("*").alias("n"), F.min(first).alias("first"))
+    kinds = held.rollup("name").agg(F.sum("n").alias("n")).select(F.when(F.col("name").isNull(), "total").otherwise("kind").alias("part"), "name", "n")
+    top = held.where("message IS NOT NULL").groupBy("message").agg(F.sum("n").alias("n"), F.min("first").alias("first")).orderBy(F.desc("n"), "first").limit(most)
+    return kinds.union(top.select(F.lit("message").alias("part"), F.col("message").alias("name"), "n"))
+
+
 def error_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first fifty critical errors of one category within the window; the limit is the feature."""
     rows = stamped(spark, sf_dir).where("event_type = 'error'").where((F.col("category") == "parsing") & (F.col("level") != "warning") & (F.col("ts") >= now() - F.expr(f"INTERVAL {HOURS} HOURS")))
@@ -133,7 +147,7 @@ def routed_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        windowed_task_stats, error_summary, error_search, hourly_series, metric_alerts, metric_summary, task_life, retention, connection_stats, known_scores, new_error_kinds, routed_updates,
+        windowed_task_stats, error_summary, error_statistics, error_search, hourly_series, metric_alerts, metric_summary, task_life, retention, connection_stats, known_scores, new_error_kinds, routed_updates,
     )
 }
 _S = f"""s AS (SELECT *, {STATUS_SQL} AS status, json_extract_string(props, '$.k')::INT AS k, ['network', 'parsing', 'storage'][json_extract_string(props, '$.k')::INT % 3 + 1] AS category,
@@ -144,6 +158,9 @@ ORACLES = {
       round(coalesce(count(*) FILTER (status = 'success') * 100 / nullif(count(*) FILTER (status IN ('success', 'failure')), 0), 0.0), 4) AS success_rate, round(coalesce(count(*) FILTER (status = 'failure') * 100 / nullif(count(*) FILTER (status IN ('success', 'failure')), 0), 0.0), 4) AS error_rate,
       round(coalesce(avg(value), 0.0), 4) AS mean, round(count(*) / {HOURS}, 4) AS throughput FROM s WHERE {_SINCE}""",
     "error_summary": f"WITH {_S} SELECT category, level, count(*) AS n, count(DISTINCT k) AS kinds, max(ts) AS last_ts FROM s WHERE event_type = 'error' GROUP BY GROUPING SETS ((category), (level), ())",
+    "error_statistics": f"""WITH {_S}, e AS (SELECT *, CASE WHEN k % 10 != 0 THEN concat_ws(' ', category, level, k % 17) END AS message FROM s WHERE event_type = 'error' AND {_SINCE})
+      SELECT CASE WHEN category IS NULL THEN 'total' ELSE 'kind' END AS part, category AS name, count(*) AS n FROM e GROUP BY ROLLUP (category)
+      UNION ALL (SELECT 'message', message, count(*) AS n FROM e WHERE message IS NOT NULL GROUP BY message ORDER BY n DESC, min(ts), min(event_id) LIMIT 10)""",
     "error_search": f"WITH {_S} SELECT event_id, ts, level FROM s WHERE event_type = 'error' AND category = 'parsing' AND level != 'warning' AND {_SINCE} ORDER BY ts, event_id LIMIT 50",
     "hourly_series": f"""WITH h AS (SELECT date_trunc('hour', TIMESTAMP '{NOW}') - to_hours(i + 1) AS hour FROM range({HOURS}) r(i)), c AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
       SELECT strftime(hour, '%Y-%m-%d %H:00') AS hour, coalesce(n, 0) AS n FROM h LEFT JOIN c USING (hour)""",
