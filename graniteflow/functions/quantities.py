@@ -101,6 +101,25 @@ def filled(value: Column, other: Column, default: float) -> Column:
     return F.when(found == 0, default).otherwise(found)
 
 
+#: What is read of a component given as JSON text; a value of another shape makes the text unreadable.
+STORED = "name string, dimensions map<string,string>, quantity string, _broken string"
+
+
+def stored_component(text: Column) -> Column:
+    """A struct of name, dimensions and quantity from a component's JSON text, and an error where there is none.
+
+    quantity: 1 if it isn't given, 0 if it is no number. Errors: 'no text' for null and blank ones, 'not an object', 'not
+    readable' for broken JSON and for dimensions that aren't an object. Other fields are left out; a missing name is ''.
+    """
+    found = F.from_json(text, STORED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    error = F.when(blank, "no text").when(~F.startswith(F.ltrim(text), F.lit("{")), "not an object").when(found["_broken"].isNotNull() | found.isNull(), "not readable")
+    good = lambda value: F.when(error.isNull(), value)
+    count = F.when(found["quantity"].isNull(), 1.0).otherwise(number(found["quantity"]))
+    dims = F.coalesce(found["dimensions"], F.create_map().cast("map<string,string>"))
+    return F.struct(good(F.coalesce(found["name"], F.lit(""))).alias("name"), good(dims).alias("dims"), good(count).alias("quantity"), error.alias("error"))
+
+
 def standard_quantity(kind: Column, length: Column, width: Column, height: Column, depth: Column | None = None) -> Column:
     """Quantity by the standard rule: a volume or an area; 0 for a type without a rule. Nulls are missing dimensions."""
     depth = F.lit(None).cast("double") if depth is None else depth

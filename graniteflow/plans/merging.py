@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteflow.functions import geometry as g
 from graniteflow.functions import marks as m
-from graniteflow.functions.keys import below
+from graniteflow.functions.keys import below, falling, packed
 from graniteflow.functions.text import letters_alike
 from graniteflow.operators.greedy import cut, greedy_match, greedy_selection, meeting, overlap_edges, seed_groups
 from graniteflow.plans.tiling import PAIRS_SQL, REGIONS_SQL, regions
@@ -131,6 +131,36 @@ def merged_to_fixpoint(rows: DataFrame, least: float = 0.5) -> DataFrame:
         now = cut(now.join(seed_groups(now, edges), "id").groupBy("grp", F.col("seed").alias("id")).agg(F.sum("n").alias("n"), F.sum("pieces").alias("pieces"), *hulls))
 
 
+def merged_by_id_or_type(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """Components of one id or of one type whose boxes overlap by over ``least``, merged around seeds in encounter order, again until none do.
+
+    rows: grp, id (the order of encounter, from 0 below 10**18), label, type, richness (0 to 10**9 - 1), n, pieces and a box. Out of a group come the
+    sums of n and pieces, the hull, and label, type and richness of its richest component, the first of equal ones, so a
+    later pass may merge what an earlier one couldn't. Ids are unique. Empty and null labels and types match nothing; nor do null boxes and such without an area.
+    """
+    same = F.coalesce(F.nullif("label", F.lit("")) == F.col("label_"), F.lit(False)) | F.coalesce(F.nullif("type", F.lit("")) == F.col("type_"), F.lit(False))
+    hull = [F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")]
+    richest = F.max_by(F.struct("label", "type", "richness"), packed((F.col("richness"), 9), (falling(F.col("id"), 18), 18)))
+    now = cut(rows.select("grp", "id", "label", "type", "richness", "n", "pieces", *g.BOX))
+    while True:
+        edges = cut(meeting(now.where("x1 < x2 AND y1 < y2").drop("n", "pieces", "richness"), same & (g.iou("", "_") > least)))
+        if edges.isEmpty():
+            return now
+        alone = now.join(edges.select(F.explode(F.array("low", "high")).alias("id")), "id", "left_anti")
+        met = now.join(alone.select("id"), "id", "left_anti")
+        groups = met.join(seed_groups(met.select("id"), edges), "id").groupBy("grp", F.col("seed").alias("id"))
+        out = groups.agg(richest.alias("_r"), F.sum("n").alias("n"), F.sum("pieces").alias("pieces"), *hull).select("grp", "id", "_r.*", "n", "pieces", *g.BOX)
+        now = cut(out.unionByName(alone))
+
+
+def coordinated_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of a sheet merged by id or type and overlap, until none do."""
+    now = regions(spark, sf_dir).select(
+        "grp", "id", F.col("text").alias("label"), F.col("kind").alias("type"), (F.col("size") * 7 % 11).cast("long").alias("richness"), F.when(F.col("id") % 6 == 0, 2).otherwise(1).cast("long").alias("n"), F.lit(1).cast("long").alias("pieces"), *g.BOX,
+    )
+    return merged_by_id_or_type(now)
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions as candidates of a fusion: source, label and how many attributes and coordinates they have."""
     source = F.when(F.col("id") % 3 == 0, "ocr").when(F.col("id") % 3 == 1, "vision").otherwise("cad")
@@ -264,7 +294,7 @@ def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        greedy_text_dedup, smart_dedup, position_dedup, component_dedup, seed_group_iou, seed_group_hybrid, proximity_groups, fixpoint_merge, fused_components, fusion_quality,
+        greedy_text_dedup, smart_dedup, position_dedup, component_dedup, seed_group_iou, seed_group_hybrid, proximity_groups, fixpoint_merge, coordinated_merge, fused_components, fusion_quality,
         cross_match, cross_validation, validation_metrics, keyed_components, most_complete, grid_lines, text_statistics,
     )
 }
@@ -317,7 +347,30 @@ _CROSS = f"""WITH RECURSIVE {PAIRS_SQL}, a AS (SELECT * FROM r WHERE id % 3 = 0)
   matched AS (SELECT o.id AS a, got.b AS b, got.score AS score FROM loop JOIN o ON o.grp = loop.grp AND o.i = loop.i WHERE got IS NOT NULL),
   valid AS (SELECT x.id AS a, y.id AS b, coalesce(score, 0.0) AS score, CASE WHEN y.id IS NULL THEN 'missing_vision' WHEN x.id IS NULL THEN 'missing_ocr' WHEN score > 0.7 THEN 'consistent' WHEN least(x.conf, y.conf) < 600 THEN 'low_confidence' ELSE 'inconsistent' END AS status,
     CASE WHEN y.id IS NULL THEN 'vision_reprocess' WHEN x.id IS NULL THEN 'ocr_reprocess' END AS action FROM (SELECT a.id, a.conf, m.b, m.score FROM a LEFT JOIN matched m ON m.a = a.id) x FULL JOIN b y ON y.id = x.b)"""
+
+
+def _fixpoint(source: str, same: str, out: str) -> str:
+    """SQL of passes over a group's list: a step merges one seed with the later ones like it; a pass without a merge ends it. source: a CTE's rows as s; same: of a and b."""
+    shared = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+    both = f"({same}) AND {shared} > 0.5::DOUBLE * ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {shared})"
+    each = lambda f, c: f"list_{f}(list_transform(g, lambda x: x.{c}))"
+    first = "list_filter(g, lambda x: x.richness = list_max(list_transform(g, lambda y: y.richness)))[1]"
+    joined = f"""{{'id': a.id, 'label': {first}.label, 'type': {first}.type, 'richness': {each('max', 'richness')}, 'n': {each('sum', 'n')}::BIGINT, 'pieces': {each('sum', 'pieces')}::BIGINT,
+      'x1': {each('min', 'x1')}, 'y1': {each('min', 'y1')}, 'x2': {each('max', 'x2')}, 'y2': {each('max', 'y2')}}}"""
+    return f"""WITH RECURSIVE {source}, w AS (
+        SELECT grp, list({{'id': id, 'label': label, 'type': type, 'richness': richness, 'n': n, 'pieces': pieces, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY id) AS l, 1::BIGINT AS i, false AS changed, false AS done FROM s GROUP BY grp
+        UNION ALL SELECT grp, CASE WHEN len(g) > 1 THEN l[:i - 1] || [{joined}] || list_filter(l[i + 1:], lambda b: NOT ({both})) ELSE l END, CASE WHEN i > len(l) THEN 1 ELSE i + 1 END, i <= len(l) AND (changed OR len(g) > 1), i > len(l) AND NOT changed
+        FROM (SELECT *, CASE WHEN i <= len(l) THEN [a] || list_filter(l[i + 1:], lambda b: {both}) ELSE [] END AS g FROM (SELECT *, l[i] AS a FROM w WHERE NOT done)))
+      SELECT {out} FROM (SELECT grp, unnest(l) AS c FROM w WHERE done)"""
+
+
+_BOXES = "c.x1 AS x1, c.y1 AS y1, c.x2 AS x2, c.y2 AS y2"
 ORACLES = {
+    "fixpoint_merge": _fixpoint(f"{REGIONS_SQL}, s AS (SELECT grp || '|' || kind AS grp, id, '' AS label, kind AS type, 0 AS richness, 1::BIGINT AS n, size::BIGINT AS pieces, x1, y1, x2, y2 FROM r)", "true", f"grp, c.id AS id, c.n AS n, c.pieces AS pieces, {_BOXES}"),
+    "coordinated_merge": _fixpoint(
+        f"{REGIONS_SQL}, s AS (SELECT grp, id, text AS label, kind AS type, (size * 7 % 11)::BIGINT AS richness, CASE WHEN id % 6 = 0 THEN 2 ELSE 1 END::BIGINT AS n, 1::BIGINT AS pieces, x1, y1, x2, y2 FROM r)",
+        "a.label = b.label OR a.type = b.type", f"grp, c.id AS id, c.label AS label, c.type AS type, c.richness AS richness, c.n AS n, c.pieces AS pieces, {_BOXES}",
+    ),
     "greedy_text_dedup": _selection(f"({_ALIKE} > 0.8 AND iou > 0.3) OR {_ALIKE} > 0.9 OR (iou > 0.7 AND {_ALIKE} > 0.5)", step="conf DESC, id"),
     "smart_dedup": f"""WITH RECURSIVE {PAIRS_SQL}, s AS (SELECT *, {_EDITS} AS sim, {_KIND.format('text')} AS t, {_KIND.format('text_')} AS t_ FROM pairs WHERE iou > 0.3),
       edges AS (SELECT grp, low, high FROM s WHERE (sim >= 0.95 AND iou > 0.5) OR (sim > 0.9 AND iou > 0.3 AND t = t_) OR (iou > 0.8 AND sim > 0.6) OR (t = 'component_id' AND t_ = 'component_id' AND sim > 0.85 AND iou > 0.4)

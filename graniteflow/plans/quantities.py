@@ -48,6 +48,24 @@ def quantity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "kind", F.round("_q.volume", 9).alias("volume"), F.round("_q.area", 9).alias("area"), "pieces")
 
 
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as JSON texts, some of them cut off, lists, plain words, empty or null."""
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    text = F.to_json(F.struct("name", F.col("dims").alias("dimensions"), F.when(key % 3 != 0, F.col("pieces")).alias("quantity")))
+    odd = F.when(key % 11 == 1, F.substring(text, 1, 12)).when(key % 11 == 2, F.concat(F.lit("["), text, F.lit("]"))).when(key % 11 == 3, F.lit('"beam"')).when(key % 11 == 4, F.lit(" ")).when(key % 11 == 6, F.lit('{"name": "Main Beam", "dimensions": 7}')).when(key % 11 != 5, text)
+    return measured(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", odd.alias("text"))
+
+
+def stored_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume and area of components given as JSON texts, by their type's rule; null with an error where a text can't be read or its type has no rule."""
+    rows = once(stored_texts(spark, sf_dir), q.stored_component(F.col("text")), "_c").select("l_orderkey", "l_linenumber", "l_partkey", "_c.*")
+    rows = rows.withColumns({name: q.dimension(F.col("dims"), name) for name in q.ALIASES} | {"bxh": F.split(F.col("dims")["bxh"], "x"), "kind": q.component_type(F.col("name"))})
+    names = {name: F.col(name) for name in q.ALIASES}
+    rows = once(rows.withColumns(q.with_sides(names, F.col("bxh"))), q.take_off(F.col("kind"), names, F.col("quantity")), "_q")
+    error = F.coalesce("error", F.when(~F.col("kind").isin(list(q.TYPE_WORDS)), "no rule"), F.when(F.col("_q").isNull(), "dimension missing"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("error").isNull(), F.col("kind")).alias("kind"), F.round("_q.volume", 9).alias("volume"), F.round("_q.area", 9).alias("area"), "quantity", error.alias("error"))
+
+
 def quantity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of volume, area and pieces by type and in total (kind null); rows without a result count in found alone."""
     rows = quantity_items(spark, sf_dir).where("kind != ''")
@@ -165,7 +183,7 @@ def validation_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        quantity_items, quantity_rollup, standard_rule_quantities, standard_summary, total_by_unit, noncompliance_report, notes_array, priced_summary,
+        quantity_items, stored_quantities, quantity_rollup, standard_rule_quantities, standard_summary, total_by_unit, noncompliance_report, notes_array, priced_summary,
         plain_measures, quantity_display, drawn_parts, drawn_summary, component_checks, validation_rate,
     )
 }
@@ -210,6 +228,9 @@ _CHECKS = """c AS (SELECT p_partkey, p_partkey % 17 = 0 AS no_id, p_partkey % 19
     CASE WHEN NOT words AND quantity <= 0 THEN 'small_quantity' ELSE '' END AS warnings FROM c)"""
 ORACLES = {
     "quantity_items": f"WITH {_ITEMS} SELECT * FROM i",
+    "stored_quantities": f"""WITH {_ITEMS}, j AS (SELECT *, (l_orderkey * 8 + l_linenumber) % 11 AS o, CASE WHEN (l_orderkey * 8 + l_linenumber) % 3 != 0 THEN pieces ELSE 1 END::DOUBLE AS quantity FROM v)
+      SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN o NOT BETWEEN 1 AND 6 THEN kind END AS kind, CASE WHEN o NOT BETWEEN 1 AND 6 THEN round(volume / pieces * quantity, 9) END AS volume, CASE WHEN o NOT BETWEEN 1 AND 6 THEN round(area / pieces * quantity, 9) END AS area,
+      CASE WHEN o NOT BETWEEN 1 AND 6 THEN quantity END AS quantity, CASE WHEN o IN (1, 6) THEN 'not readable' WHEN o IN (2, 3) THEN 'not an object' WHEN o IN (4, 5) THEN 'no text' WHEN kind = 'unknown' THEN 'no rule' WHEN volume IS NULL THEN 'dimension missing' END AS error FROM j""",
     "quantity_rollup": f"""WITH {_ITEMS} SELECT kind, count(*) AS found, count(volume) AS n, round(coalesce(sum(volume), 0.0), 3) AS volume, round(coalesce(sum(area), 0.0), 3) AS area,
       coalesce(sum(pieces) FILTER (volume IS NOT NULL), 0.0)::DOUBLE AS pieces FROM i GROUP BY ROLLUP (kind)""",
     "standard_rule_quantities": f"WITH {_STD} SELECT drawing_id, ord, material, round(quantity, 6) AS quantity, unit, compliant, array_to_string(notes, ';') AS notes FROM s",

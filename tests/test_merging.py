@@ -8,6 +8,7 @@ import pytest
 from graniteflow.operators.greedy import greedy_match, greedy_selection, seed_groups
 from graniteflow.operators.keyed import seeds_by_keys
 from graniteflow.operators.similarity import alike_sets, bag
+from graniteflow.plans.merging import merged_by_id_or_type
 from graniteflow.plans.tiers import alike_codes, kind_likeness, semantic_seeds, tag_likeness, type_merge_seeds
 from pyspark.sql import functions as F
 
@@ -144,3 +145,34 @@ def test_likeness_of_kinds_and_tags(spark):
         assert spark.range(1).select(kind_likeness(F.lit(a).cast("string"), F.lit(b).cast("string"))).first()[0] == want
     tags = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], ["a"]), (None, None)], "a array<string>, b array<string>")
     assert [r[0] for r in tags.select(tag_likeness(F.col("a"), F.col("b"))).collect()] == [1 / 3, 0.0, 0.0]
+
+
+def test_merging_by_id_or_type_against_loops(spark):
+    draw = random.Random(7)
+    rows = []
+    for i in range(160):
+        x, y = draw.randrange(120), draw.randrange(120)
+        rows.append([draw.choice("ab"), i, draw.choice(["KZ1", "L1", "", None, "Q"]), draw.choice(["beam", "wall", "", None]), draw.randrange(4), draw.randrange(1, 3), 1, x, y, x + draw.choice([0, 25, 30]), y + 28])
+    rows.append(["a", 900, "Q", "wall", 0, 1, 1, None, 0, 5, 5])
+
+    def alike(a, b):
+        if a[0] != b[0] or None in (a[7], b[7]) or not ((a[2] and a[2] == b[2]) or (a[3] and a[3] == b[3])):
+            return False
+        s = max(0, min(a[9], b[9]) - max(a[7], b[7])) * max(0, min(a[10], b[10]) - max(a[8], b[8]))
+        return s > 0 and s / ((a[9] - a[7]) * (a[10] - a[8]) + (b[9] - b[7]) * (b[10] - b[8]) - s) > 0.4
+
+    now = rows
+    while True:
+        out, gone = [], set()
+        for i, a in enumerate(now):
+            if i in gone:
+                continue
+            group = [a] + [b for j, b in enumerate(now) if j > i and j not in gone and alike(a, b) and not gone.add(j)]
+            best = max(group, key=lambda r: r[4])
+            out.append(a if len(group) == 1 else [a[0], a[1], *best[2:5], sum(r[5] for r in group), sum(r[6] for r in group), *[f(r[k] for r in group) for k, f in ((7, min), (8, min), (9, max), (10, max))]])
+        if len(out) == len(now):
+            break
+        now = out
+    found = merged_by_id_or_type(spark.createDataFrame(rows, "grp string, id long, label string, type string, richness long, n long, pieces long, x1 int, y1 int, x2 int, y2 int"), 0.4)
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(list, found.collect()), key=key) == sorted(now, key=key) and len(now) < len(rows) - 10
