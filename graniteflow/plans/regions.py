@@ -81,28 +81,37 @@ def repeated_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sheet", "id", "again", pick(F.floor(F.col("number") / F.col("side")), "row").alias("row"), pick(F.col("number") % F.col("side"), "col").alias("col"))
 
 
-def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of each sheet joined to lines: one goes on a line if its top and height are within 10 pixels of the line's anchor and its gap to the last text is 30 pixels at most.
+def lines_of(rows: DataFrame, near: int = 10, gap: int = 30) -> DataFrame:
+    """sheet, place and line: texts joined to lines; one goes on a line if its top and height are within ``near`` pixels of the line's anchor and its gap to the last text is ``gap`` pixels at most.
 
-    The anchor is the last region that began or broke a line, so a fold over the sheet's sorted regions carries it.
+    rows: sheet, id, text and a box, none of which is null. Regions go by top, left edge and id. The anchor is the last that began a line. A region
+    more than ``near`` below the one before it, or more than ``gap`` to its right, begins a line whatever the anchor is (tops only grow), so
+    a sheet falls into stretches at such regions; only a stretch is gathered, and folded for the breaks that depend on its anchors.
     """
+    order = Window.partitionBy("sheet").orderBy("y1", "x1", "id")
+    before = F.lag(F.struct("y1", "x2")).over(order)
+    cut = F.coalesce((F.col("y1") - before["y1"] > near) | (F.col("x1") - before["x2"] > gap), F.lit(True))
     item = F.struct("y1", "x1", "id", "text", "x2", (F.col("y2") - F.col("y1")).alias("h"))
-    sheet = regions(spark, sf_dir).groupBy("sheet").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.lit(None).cast("int")
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("line"), none.alias("y"), none.alias("h"), none.alias("x"))
+    cuts = rows.select("sheet", item.alias("item"), "y1", "x1", "id", cut.cast("long").alias("cut"))
+    stretches = cuts.select("sheet", "item", F.sum("cut").over(order).alias("stretch")).groupBy("sheet", "stretch").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    begin = lambda r: F.struct(r["y1"].alias("y1"), r["x1"].alias("x1"), r["id"].alias("id"), r["h"].alias("h"), r["x2"].alias("end"), r["text"].alias("line"))
 
     def step(s: Column, r: Column) -> Column:
-        same = F.coalesce((F.abs(r["y1"] - s["y"]) <= 10) & (F.abs(r["h"] - s["h"]) <= 10), F.lit(False))
-        joins = same & F.coalesce(r["x1"] - s["x"] <= 30, F.lit(False))
-        ended = F.when(s["line"].isNull(), s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"])))
-        anchor = lambda old, new: F.when(joins, old).otherwise(new)
-        return F.struct(
-            F.when(joins, s["lines"]).otherwise(ended).alias("lines"), F.when(joins, F.concat_ws(" ", s["line"], r["text"])).otherwise(r["text"]).alias("line"),
-            anchor(s["y"], r["y1"]).alias("y"), anchor(s["h"], r["h"]).alias("h"), r["x2"].alias("x"),
-        )
-
-    lines = F.aggregate("items", start, step, lambda s: F.when(s["line"].isNull(), s["lines"]).otherwise(F.concat(s["lines"], F.array(s["line"]))))
-    return sheet.select("sheet", F.posexplode(lines).alias("place", "line"))
+        line = s["line"]
+        joins = (F.abs(r["y1"] - line["y1"]) <= near) & (F.abs(r["h"] - line["h"]) <= near) & (r["x1"] - line["end"] <= gap)
+        longer = F.struct(line["y1"].alias("y1"), line["x1"].alias("x1"), line["id"].alias("id"), line["h"].alias("h"), r["x2"].alias("end"), F.concat_ws(" ", line["line"], r["text"]).alias("line"))
+        return F.when(joins, F.struct(s["done"].alias("done"), longer.alias("line"))).otherwise(F.struct(F.concat(s["done"], F.array(line)).alias("done"), begin(r).alias("line")))
+
+    first = begin(F.col("items")[0])
+    start = F.struct(F.slice(F.array(first), 1, 0).alias("done"), first.alias("line"))
+    lines = F.aggregate(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), start, step, lambda s: F.concat(s["done"], F.array(s["line"])))
+    whole = stretches.select("sheet", F.inline(lines))
+    return whole.select("sheet", (F.row_number().over(order) - 1).alias("place"), "line")
+
+
+def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of each sheet joined to lines, numbered from 0."""
+    return lines_of(regions(spark, sf_dir))
 
 
 def texts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
