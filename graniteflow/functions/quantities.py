@@ -105,13 +105,17 @@ def filled(value: Column, other: Column, default: float) -> Column:
 STORED = "name string, dimensions map<string,string>, quantity string, _broken string"
 
 
-def stored_component(text: Column) -> Column:
-    """A struct of name, dimensions and quantity from a component's JSON text, and an error where there is none.
+def parsed(text: Column) -> Column:
+    """A component's JSON text as a struct of STORED."""
+    return F.from_json(text, STORED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+
+
+def stored_component(text: Column, found: Column) -> Column:
+    """A struct of name, dimensions and quantity from a component's JSON text and what was ``parsed`` of it, and an error where there is none.
 
     quantity: 1 if it isn't given, 0 if it is no number. Errors: 'no text' for null and blank ones, 'not an object', 'not
     readable' for broken JSON and for dimensions that aren't an object. Other fields are left out; a missing name is ''.
     """
-    found = F.from_json(text, STORED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
     blank = F.coalesce(F.trim(text), F.lit("")) == ""
     error = F.when(blank, "no text").when(~F.startswith(F.ltrim(text), F.lit("{")), "not an object").when(found["_broken"].isNotNull() | found.isNull(), "not readable")
     good = lambda value: F.when(error.isNull(), value)

@@ -51,14 +51,15 @@ def quantity_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as JSON texts, some of them cut off, lists, plain words, empty or null."""
     key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    text = F.to_json(F.struct("name", F.col("dims").alias("dimensions"), F.when(key % 3 != 0, F.col("pieces")).alias("quantity")))
+    whole, text = F.to_json(F.struct("name", F.col("dims").alias("dimensions"), F.when(key % 3 != 0, F.col("pieces")).alias("quantity"))), F.col("_t")
     odd = F.when(key % 11 == 1, F.substring(text, 1, 12)).when(key % 11 == 2, F.concat(F.lit("["), text, F.lit("]"))).when(key % 11 == 3, F.lit('"beam"')).when(key % 11 == 4, F.lit(" ")).when(key % 11 == 6, F.lit('{"name": "Main Beam", "dimensions": 7}')).when(key % 11 != 5, text)
-    return measured(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", odd.alias("text"))
+    return once(once(measured(spark, sf_dir), whole, "_t").select("l_orderkey", "l_linenumber", "l_partkey", "_t"), odd, "text").drop("_t")
 
 
 def stored_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume and area of components given as JSON texts, by their type's rule; null with an error where a text can't be read or its type has no rule."""
-    rows = once(stored_texts(spark, sf_dir), q.stored_component(F.col("text")), "_c").select("l_orderkey", "l_linenumber", "l_partkey", "_c.*")
+    rows = once(stored_texts(spark, sf_dir), q.parsed(F.col("text")), "_p")
+    rows = once(rows, q.stored_component(F.col("text"), F.col("_p")), "_c").select("l_orderkey", "l_linenumber", "l_partkey", "_c.*")
     rows = rows.withColumns({name: q.dimension(F.col("dims"), name) for name in q.ALIASES} | {"bxh": F.split(F.col("dims")["bxh"], "x"), "kind": q.component_type(F.col("name"))})
     names = {name: F.col(name) for name in q.ALIASES}
     rows = once(rows.withColumns(q.with_sides(names, F.col("bxh"))), q.take_off(F.col("kind"), names, F.col("quantity")), "_q")

@@ -159,6 +159,6 @@ def test_greedy_match_against_a_loop(spark):
 
 def test_stored_components(spark):
     texts = ['{"name": "梁", "dimensions": {"length": 4, "b": "0.3"}, "quantity": 2, "more": [1]}', '{"name": null}', ' {"quantity": "x", "dimensions": null}', '{"dimensions": [1]}', '{"name": "a"', "[1]", "7", " ", None, '{"quantity": 0}']
-    found = [tuple(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(q.stored_component(F.col("t"))).collect()]
+    found = [tuple(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(q.stored_component(F.col("t"), q.parsed(F.col("t")))).collect()]
     bad = lambda error: (None, None, None, error)
     assert found == [("梁", {"length": "4", "b": "0.3"}, 2.0, None), ("", {}, 1.0, None), ("", {}, 0.0, None), bad("not readable"), bad("not readable"), bad("not an object"), bad("not an object"), bad("no text"), bad("no text"), ("", {}, 0.0, None)]
