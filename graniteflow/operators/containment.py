@@ -18,6 +18,7 @@ def contained(parts: DataFrame, wholes: DataFrame, by: tuple[str, ...] = ()) ->
     Texts are made distinct first. A part meets the wholes that hold its rarest pair of letters, the first of the rarest; parts of
     one letter meet by that. So a gram that most wholes hold is joined on only by parts that have no rarer one.
     Null and empty texts stand in nothing and hold nothing; nulls in ``by`` equal nothing. Case counts.
+    Joins are by merging: the sizes of exploded rows are guessed too low, and a side taken for small would be sent to the driver.
     """
     keys = list(by)
     short = parts.where("part != ''").select(*keys, "part").distinct()
@@ -27,6 +28,6 @@ def contained(parts: DataFrame, wholes: DataFrame, by: tuple[str, ...] = ()) ->
     held = index.groupBy(*keys, "gram").agg(F.count("*").alias("times"))
     pairs = short.where("char_length(part) > 1").select(*keys, "part", F.explode(grams(F.col("part"), 2)).alias("gram"))
     # a gram that no whole holds ends the part: nothing holds it
-    rarest = pairs.join(held, [*keys, "gram"], "left").groupBy(*keys, "part").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("least"))
+    rarest = pairs.join(held.hint("merge"), [*keys, "gram"], "left").groupBy(*keys, "part").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "gram")).alias("least"))
     asked = rarest.where("least.times > 0").select(*keys, "part", F.col("least.gram").alias("gram")).unionByName(ones)
-    return asked.join(index, [*keys, "gram"]).where(F.contains("whole", "part")).select(*keys, "part", "whole")
+    return asked.join(index.hint("merge"), [*keys, "gram"]).where(F.contains("whole", "part")).select(*keys, "part", "whole")

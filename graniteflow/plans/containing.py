@@ -16,8 +16,8 @@ def inferred_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = rows.where("id % 4 != 0").select("grp", F.floor(F.col("y1") / 500).cast("int").alias("row"), F.floor(F.col("x1") / 500).cast("int").alias("col"), F.col("id").alias("at"), F.concat(F.lit("no. "), "text", F.lit("/"), F.col("size").cast("string")).alias("whole"))
     # of texts that are equal on a sheet the first tile's is enough; the rest are counted
     places = seen.groupBy("grp", "whole").agg(F.min(F.struct("row", "col", "at")).alias("first"), F.count("*").alias("texts"))
-    found = contained(lost, seen, ("grp",)).join(places, ["grp", "whole"]).groupBy("grp", "part").agg(F.min("first").alias("first"), F.sum("texts").alias("texts"))
-    return lost.join(found, ["grp", "part"], "left").select("id", F.col("part").alias("code"), "first.row", "first.col", F.coalesce("texts", F.lit(0)).alias("texts"))
+    found = contained(lost, seen, ("grp",)).join(places.hint("merge"), ["grp", "whole"]).groupBy("grp", "part").agg(F.min("first").alias("first"), F.sum("texts").alias("texts"))
+    return lost.join(found.hint("merge"), ["grp", "part"], "left").select("id", F.col("part").alias("code"), "first.row", "first.col", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 
 QUERIES = {"inferred_tiles": inferred_tiles}

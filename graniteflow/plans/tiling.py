@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteflow.functions import geometry as g
 from graniteflow.operators.greedy import meeting
-from graniteflow.session import table
+from graniteflow.session import spread, table
 
 EXTENSIONS = ["pdf", "dwg", "tif", "png"]
 
@@ -68,7 +68,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     group, step = F.floor(key / 3), key % 3
     x, y = (group * 37 % 1900 + step * 4).cast("int"), (group * 53 % 1900 + step * 2).cast("int")
     code = F.concat(F.get(F.array(*map(F.lit, ["KZ", "L", "B", "Q", "KL"])), (group % 5).cast("int")), (group % 50).cast("string"), F.when(key % 9 == 0, "A").otherwise(""))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"), "p_partkey").select(
         F.col("p_partkey").alias("id"), F.floor(key / 300).cast("long").alias("grp"), F.floor(key / 300).cast("long").alias("sheet"), x.alias("x1"), y.alias("y1"), (x + 40 + size % 20).alias("x2"), (y + 20 + size % 5).alias("y2"),
         code.alias("text"), (key * 7919 % 1000).cast("int").alias("conf"), F.element_at(F.split("p_type", " "), 1).alias("kind"), F.col("p_type").alias("material"), size.alias("size"),
     )

@@ -30,3 +30,12 @@ def build_session(app: str = "graniteflow", master: str | None = None, shuffle_p
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the catalogue; columns are pruned and filters pushed by Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt out by key over as many tasks as the session's shuffles have.
+
+    Narrow rows are few bytes on disk: a million are read in one or two tasks, which would do all that follows up to the next shuffle.
+    The number is given outright, as a plan that may choose it joins parts of so few bytes again.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

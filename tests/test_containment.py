@@ -3,6 +3,7 @@
 import random
 
 from graniteflow.operators.containment import contained
+from graniteflow.plans.containing import inferred_tiles
 
 
 def test_contained(spark):
@@ -17,3 +18,8 @@ def test_contained(spark):
     assert contained(none, spark.createDataFrame([("a",)], "whole string")).count() == 0
     whole_table = contained(spark.createDataFrame([("ab",)], "part string"), spark.createDataFrame([("xaby",), ("ba",)], "whole string"))
     assert [tuple(r) for r in whole_table.collect()] == [("ab", "xaby")]
+
+
+def test_nothing_is_sent_to_the_driver_however_small_a_table_looks(spark):
+    plan = inferred_tiles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

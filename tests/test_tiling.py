@@ -1,6 +1,7 @@
 """Counts of tiles against the tiles themselves."""
 
 from graniteflow.functions import geometry as g
+from graniteflow.plans.tiling import regions
 from pyspark.sql import functions as F
 
 
@@ -11,3 +12,7 @@ def test_adaptive_count_is_that_of_the_tiles(spark):
     rows = sheets.select("w", "h", "d", g.adaptive_count(*args).alias("c"), g.adaptive_tiles(*args).alias("t"))
     pixels = F.aggregate("t", F.lit(0).cast("long"), lambda n, t: n + t["width"] * t["height"])
     assert rows.where((F.col("c.n") != F.size("t")) | (F.col("c.pixels") != pixels)).count() == 0
+
+
+def test_regions_are_dealt_over_the_tasks_of_a_shuffle(spark):
+    assert regions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
