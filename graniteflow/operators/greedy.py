@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteflow.functions.geometry import cells, iou
+from graniteflow.session import parts
 
 #: Open edges that one task may decide: 16 bytes each, some 25 MB as Python's objects.
 ALONE = 200_000
@@ -43,12 +44,14 @@ def meeting(boxes: DataFrame, where: Column, cell: int = 200, reach: int = 0, gi
 
     boxes: grp, id, x1, y1, x2, y2 and what else is read. Boxes within ``reach`` of each other meet in the
     cells of a grid, by an equi-join on group and cell; a pair is given by the first cell that both touch.
+    Cells are dealt out over all tasks of a shuffle, however few bytes the boxes are.
     """
     half = reach / 2
     side = boxes.withColumns({"gx": cells(F.col("x1") - half, F.col("x2") + half, cell), "gy": cells(F.col("y1") - half, F.col("y2") + half, cell)})
     side = side.withColumns({"fx": F.col("gx")[0], "fy": F.col("gy")[0]}).withColumn("gx", F.explode("gx")).withColumn("gy", F.explode("gy"))
+    side = side.repartition(parts(boxes.sparkSession), "grp", "gx", "gy")  # both sides are then dealt out as the join asks
     other = side.withColumnsRenamed({c: f"{c}_" for c in side.columns if c not in ("grp", "gx", "gy")})
-    both = side.join(other, ["grp", "gx", "gy"]).where("id < id_ AND gx = greatest(fx, fx_) AND gy = greatest(fy, fy_)")
+    both = side.join(other.hint("merge"), ["grp", "gx", "gy"]).where("id < id_ AND gx = greatest(fx, fx_) AND gy = greatest(fy, fy_)")
     return both.where(where).select(F.col("id").alias("low"), F.col("id_").alias("high"), *[c.alias(n) for n, c in (give or {}).items()])
 
 

@@ -11,6 +11,7 @@ from graniteflow.functions import marks as m
 from graniteflow.operators.greedy import meeting
 from graniteflow.plans.marks import PREFIXES, marked
 from graniteflow.plans.tiling import REGIONS_SQL, regions
+from graniteflow.session import parts
 
 #: Tiles whose offsets are known, and the tile of a region.
 KNOWN = 20
@@ -42,7 +43,8 @@ def first_three_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = regions(spark, sf_dir).withColumns({"cx": g.centre("x1", "x2"), "cy": g.centre("y1", "y2")}).select("grp", "id", "cx", "cy", F.col("cx").alias("x1"), F.col("cy").alias("y1"), F.col("cx").alias("x2"), F.col("cy").alias("y2"))
     near = F.hypot(F.col("cx") - F.col("cx_"), F.col("cy") - F.col("cy_")) <= 100
     pairs = meeting(rows, near, reach=100, give={"dx": F.col("cx_") - F.col("cx"), "dy": F.col("cy_") - F.col("cy")})
-    both = pairs.union(pairs.select("high", "low", -F.col("dx"), -F.col("dy")))
+    ways = F.array(F.struct("low", "high", "dx", "dy"), F.struct(F.col("high").alias("low"), F.col("low").alias("high"), (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy")))
+    both = pairs.select(F.inline(ways)).repartition(parts(spark), "low")
     order = Window.partitionBy("low").orderBy("high")
     return both.withColumn("place", F.row_number().over(order)).where("place <= 3").select(F.col("low").alias("id"), F.col("high").alias("near"), "place", m.beside(F.col("dx"), F.col("dy")).alias("side"))
 

@@ -32,10 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts(spark: SparkSession) -> int:
+    """How many tasks a shuffle has, as the submitter set it. Given outright to repartition(), it stays: few bytes of many rows aren't joined into few tasks."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """rows dealt out by key over as many tasks as the session's shuffles have.
+    """rows dealt out by key over three tasks a core, or as many as a shuffle has if these are fewer.
 
     Narrow rows are few bytes on disk: a million are read in one or two tasks, which would do all that follows up to the next shuffle.
-    The number is given outright, as a plan that may choose it joins parts of so few bytes again.
     """
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.repartition(min(parts(rows.sparkSession), 3 * rows.sparkSession.sparkContext.defaultParallelism), key)

@@ -1,6 +1,7 @@
 """Counts of tiles against the tiles themselves."""
 
 from graniteflow.functions import geometry as g
+from graniteflow.plans.regions import first_three_near
 from graniteflow.plans.tiling import regions
 from pyspark.sql import functions as F
 
@@ -16,3 +17,8 @@ def test_adaptive_count_is_that_of_the_tiles(spark):
 
 def test_regions_are_dealt_over_the_tasks_of_a_shuffle(spark):
     assert regions(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_near_regions_are_joined_once_over_all_tasks(spark):
+    plan = first_three_near(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("REPARTITION_BY_NUM") >= 3
