@@ -58,39 +58,44 @@ def pruned(nodes: DataFrame, keys: list[str], deep: bool = False) -> DataFrame:
     level a round. keys must tell the documents apart and not be null.
     """
     nodes = cut(nodes)
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
     gone = (F.col("depth") > 0) & ((F.col("kind") == "null") | ((F.col("kind") == "string") & (F.col("value") == "")))
     kept = nodes.where(~F.coalesce(gone, F.lit(False)))
     in_objects = lambda df: df.where("depth > 0 AND name IS NOT NULL").select(*keys, "path")
-    if not deep:
-        return kept.join(in_objects(_empty_objects(nodes, keys)), [*keys, "path"], "left_anti")
+    if not deep:  # only objects in objects are joined
+        asked = F.coalesce((F.col("depth") > 0) & F.col("name").isNotNull() & (F.col("kind") == "object"), F.lit(False))
+        full = kept.where(asked).join(nodes.select(*keys, F.col("parent").alias("path")).hint("merge"), [*keys, "path"], "left_semi")
+        return kept.where(~asked).unionByName(full)
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
     for depth in range(deepest, 0, -1):
         kept = cut(kept)
         kept = kept.join(in_objects(_empty_objects(kept, keys).where(F.col("depth") == depth)), [*keys, "path"], "left_anti")
     return kept
 
 
-def assembled(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and doc: each document's nodes as JSON text again, object keys in order of their names, numbers and booleans as they were read.
+def assembled(nodes: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
+    """keys and doc: each document's nodes as JSON text again, object keys in order of their names, numbers and booleans as they were read; also how many nodes it has, as column ``count``.
 
-    From the deepest level up, children are joined into their parents' texts; a document is one row, so its text is built in one task.
+    From the deepest level up, children meet their parents in one grouping a level; a document is one row, so its text is built in one task.
+    Nodes whose parent isn't there aren't in the text and don't count. keys must tell the documents apart and not be null.
     """
     nodes = cut(nodes)
     quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
     text = F.when(F.col("kind") == "string", quoted(F.col("value"))).when(F.col("kind") == "null", "null").otherwise(F.col("value"))
-    rows = nodes.select(*keys, "depth", "path", "parent", "name", "place", "kind", text.alias("text"))
+    shown = F.coalesce(text, F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]"))
+    own = F.struct("parent", "name", "place", "kind", shown.alias("text"))
+    rows = nodes.select(*keys, "depth", "path", own.alias("own"), F.lit(None).cast("struct<place:int,part:string,n:bigint>").alias("child"))
     deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    built = rows.where(F.col("depth") == deepest)
-    for depth in range(deepest, -1, -1):
-        shown = F.coalesce("text", F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]"))
-        built = cut(built.withColumn("text", shown))
-        if depth == 0:
-            return built.select(*keys, F.col("text").alias("doc"))
+    built = rows.where(F.col("depth") == deepest).select(*keys, "path", "own.*", F.lit(1).cast("long").alias("n"))
+    for depth in range(deepest, 0, -1):
         part = F.concat(F.when(F.col("name").isNotNull(), F.concat(quoted(F.col("name")), F.lit(":"))).otherwise(""), F.col("text"))
-        inner = built.groupBy(*keys, F.col("parent").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"]), ",").alias("inner"))
-        above = rows.where(F.col("depth") == depth - 1).join(inner, [*keys, "path"], "left")
-        whole = F.when(F.col("inner").isNull(), F.col("text")).when(F.col("kind") == "object", F.concat(F.lit("{"), F.col("inner"), F.lit("}"))).otherwise(F.concat(F.lit("["), F.col("inner"), F.lit("]")))
-        built = above.select(*keys, "depth", "path", "parent", "name", "place", "kind", whole.alias("text"))
+        children = built.select(*keys, F.col("parent").alias("path"), F.lit(None).cast(rows.schema["own"].dataType).alias("own"), F.struct(F.col("place").cast("int").alias("place"), part.alias("part"), "n").alias("child"))
+        both = rows.where(F.col("depth") == depth - 1).select(*keys, "path", "own", "child").unionByName(children)
+        met = both.groupBy(*keys, "path").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("child")).alias("inner")).where("own IS NOT NULL")
+        inner = F.array_join(F.transform("inner", lambda x: x["part"]), ",")
+        whole = F.when(F.size("inner") == 0, F.col("own.text")).when(F.col("own.kind") == "object", F.concat(F.lit("{"), inner, F.lit("}"))).otherwise(F.concat(F.lit("["), inner, F.lit("]")))
+        held = F.aggregate("inner", F.lit(1).cast("long"), lambda n, x: n + x["n"])
+        built = cut(met.select(*keys, "path", "own.parent", "own.name", "own.place", "own.kind", whole.alias("text"), held.alias("n")))
+    return built.select(*keys, F.col("text").alias("doc"), *([F.col("n").alias(count)] if count else []))
 
 
 def recognised_lines(rows: DataFrame, doc: str, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graniteflow.operators.variants import assembled, flattened, pruned, recognised_lines
-from graniteflow.session import table
+from graniteflow.session import spread, table
 
 
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     # fmt: on
     made = [F.concat(*[F.lit(p) if isinstance(p, str) else p for p in shape]) for shape in shapes]
     which = F.col("p_partkey") % 3
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(which == 0, made[0]).when(which == 1, made[1]).otherwise(made[2]).alias("doc"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", F.when(which == 0, made[0]).when(which == 1, made[1]).otherwise(made[2]).alias("doc"))
 
 
 def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pruned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored result without empty values, as text again, and how many nodes it has left."""
     left = pruned(flattened(stored(spark, sf_dir), "doc", ["p_partkey"]), ["p_partkey"])
-    return assembled(left, ["p_partkey"]).join(left.groupBy("p_partkey").agg(F.count("*").alias("nodes")), "p_partkey")
+    return assembled(left, ["p_partkey"], count="nodes")
 
 
 def line_results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from graniteflow.operators.variants import assembled, flattened, pruned, recognised_lines
+from graniteflow.plans.shapes import stored
 
 
 def drawn(rnd, depth=0):
@@ -81,3 +82,15 @@ def test_lines_of_recognition(spark):
     found = sorted((r["id_"], r["id"], r["text"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in recognised_lines(rows, "doc", ["id_"]).collect())
     box = ("KL1", 10.0, 20.0, 30.0, 40.5)
     assert found == [(0, 0, *box), (0, 2, *box), (1, 0, *box), (1, 1, *box)]
+
+
+def test_assembled_counts_nodes(spark):
+    docs = spark.createDataFrame([(0, '{"a":[1,{"b":""},null],"c":{}}'), (1, None), (2, "7"), (3, "{"), (4, "[]")], "id int, doc string")
+    flat = flattened(docs, "doc", ["id"])
+    assert {r["id"]: r["n"] for r in assembled(flat, ["id"], count="n").collect()} == {0: 7, 1: 1, 2: 1, 3: 1, 4: 1}
+    left = {r["id"]: (r["doc"], r["n"]) for r in assembled(pruned(flat, ["id"]), ["id"], count="n").collect()}
+    assert left[0] == ('{"a":[1,{}]}', 4) and left[4] == ("[]", 1)
+
+
+def test_stored_results_are_dealt_out_before_they_are_read(spark):
+    assert stored(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
