@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graniteflow.session import spread
+
 #: Prefixes of component codes, grades of concrete and steel, terms of the trade.
 PREFIXES = (
     "KZ GZ XZ KZZ QZ YZ JKZ KL LL JL GL XL WKL LWL TL AL CL KB WB YJB LTB PB ZGB Q QQ FQ WQ DQ JC DJ TJ FJ ZJ CFG LT LTD XD FT DP YT"
@@ -183,11 +185,14 @@ def with_corrections(df: DataFrame, text: str = "text", confidence: str = "confi
     """df with corrected, kinds (of what was corrected, in order) and corrected_confidence.
 
     The confidence is the mean of the row's own and that of what was corrected, between 0.1 and 0.99; the row's own
-    where nothing was. A null text stays null with no kinds; an empty one stays empty.
+    where nothing was. A null text stays null with no kinds; an empty one stays empty. Every distinct text is corrected once, and
+    the distinct ones are dealt out anew, as the table that they come from may be read in one task.
     """
-    named = df.withColumns({"_text": F.col(text), "_found": F.array().cast(_FOUND)})
+    texts = spread(df.select(F.col(text).alias("_whole")).where("_whole IS NOT NULL").distinct(), F.xxhash64("_whole"))  # by a hash, as a second dealing by the texts themselves would be left out
+    named = texts.withColumns({"_text": F.col("_whole"), "_found": F.array().cast(_FOUND)})
     for step in steps:
         named = step(named)
+    named = df.join(named.select("_whole", "_text", "_found"), df[text] == F.col("_whole"), "left")
     found, own = F.coalesce("_found", F.array().cast(_FOUND)), F.col(confidence)
     mean = F.aggregate(found, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size(found)
     sure = F.when(F.size(found) == 0, own).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.1), (own + mean) / 2)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Tables that the example catalogue reads, each ``<dir>/<name>.parquet``.
 TABLES = (
@@ -37,7 +37,7 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
+def spread(rows: DataFrame, key: Column | str) -> DataFrame:
     """rows dealt out by key over three tasks a core, or as many as a shuffle has if these are fewer.
 
     Narrow rows are few bytes on disk: a million are read in one or two tasks, which would do all that follows up to the next shuffle.

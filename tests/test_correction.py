@@ -87,3 +87,13 @@ def test_keys_that_run_over_are_errors(spark):
     assert df.select(packed((F.lit(None).cast("long"), 3)).alias("k")).first()["k"] is None
     with pytest.raises(ValueError, match="37 digits"):
         packed((F.col("a"), 30), (F.col("a"), 8))
+
+
+def test_each_distinct_text_is_corrected_once_over_all_tasks(spark):
+    rows = spark.createDataFrame([(i, t, i / 10) for i, t in enumerate(["KLL3", None, "KLL3", "", "c301", "KLL3"])], "id int, text string, confidence double")
+    found = c.with_corrections(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "HashAggregate" in plan
+    got = {r["id"]: r for r in found.collect()}
+    assert len(got) == 6 and got[1]["corrected"] is None and got[1]["kinds"] == [] and got[1]["corrected_confidence"] == 0.1 and got[3]["corrected"] == "" and got[3]["kinds"] == []
+    assert len({got[i]["corrected"] for i in (0, 2, 5)}) == 1 and len({got[i]["corrected_confidence"] for i in (0, 2, 5)}) == 3
