@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graniteflow.functions import correction as c
 from graniteflow.functions.keys import falling, packed, unpacked
+from graniteflow.plans.regions import correction_statistics
 
 
 CASES = [
@@ -97,3 +98,8 @@ def test_each_distinct_text_is_corrected_once_over_all_tasks(spark):
     got = {r["id"]: r for r in found.collect()}
     assert len(got) == 6 and got[1]["corrected"] is None and got[1]["kinds"] == [] and got[1]["corrected_confidence"] == 0.1 and got[3]["corrected"] == "" and got[3]["kinds"] == []
     assert len({got[i]["corrected"] for i in (0, 2, 5)}) == 1 and len({got[i]["corrected_confidence"] for i in (0, 2, 5)}) == 3
+
+
+def test_statistics_are_of_texts_corrected_over_all_tasks(spark):
+    plan = correction_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
