@@ -10,6 +10,8 @@ from graniteflow.functions import marks as m
 from graniteflow.functions.keys import below, falling, packed
 from graniteflow.functions.text import letters_alike
 from graniteflow.operators.greedy import cut, greedy_match, greedy_selection, meeting, overlap_edges, seed_groups
+from graniteflow.operators.keyed import seeds_by_keys
+from graniteflow.operators.similarity import alike_sets
 from graniteflow.plans.tiling import PAIRS_SQL, REGIONS_SQL, regions
 
 #: Bits of an order key below the confidence, so that surer regions come first and equal ones by id.
@@ -45,12 +47,34 @@ def alike_anywhere(rows: DataFrame, least: float) -> DataFrame:
     return both.select(F.col("id").alias("low"), F.col("id_").alias("high")).distinct()
 
 
+def alike_keys(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """gives and takes (id, key) by which rows of one group meet whose texts' sets of letters are alike by over ``least``.
+
+    A row takes its own set and gives that and those like it, so rows of one set aren't paired. Other sets can be alike only if they
+    share over least / (1 - least) letters: only sets that large go through the set join.
+    """
+    letters = F.array_sort(F.array_remove(F.array_distinct(F.split(F.lower("text"), "")), ""))
+    rows = rows.select("grp", "id", letters.alias("items")).where(F.size("items") > 0)
+    key = lambda items: F.concat_ws("|", F.lit("text"), F.col("grp").cast("string"), F.concat_ws("", items)).alias("key")
+    large = rows.where(F.size("items") > least / (1 - least) - 1e-6)
+    sets = cut(large.select("grp", "items").distinct().select("grp", F.col("items"), F.concat_ws("|", F.col("grp").cast("string"), F.concat_ws("", "items")).alias("id")))
+    pairs = alike_sets(sets, least, by=("grp",)).where(F.col("likeness") > least)
+    ways = pairs.select("low", "high").union(pairs.select("high", "low"))
+    like = ways.select(F.col("low").alias("own"), F.concat_ws("|", F.lit("text"), "high").alias("key"))
+    named = large.select("id", F.concat_ws("|", F.col("grp").cast("string"), F.concat_ws("", "items")).alias("own"))
+    own = rows.select("id", key(F.col("items")))
+    return own.union(named.join(like, "own").select("id", "key")), own
+
+
 def greedy_text_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions that stay, the surest first: one goes if a kept one is alike and overlaps, or is very alike anywhere on the sheet."""
     rows = surest_first(regions(spark, sf_dir))
     alike = letters_alike(F.lower("text"), F.lower("text_"))
-    near = meeting(rows.select("grp", "id", "text", *g.BOX), ((alike > 0.8) & (g.iou() > 0.3)) | ((g.iou() > 0.7) & (alike > 0.5)))
-    return kept_regions(rows, near.union(alike_anywhere(rows, 0.9)).distinct())
+    near = cut(meeting(rows.select("grp", "id", "text", *g.BOX), (((alike > 0.8) & (g.iou() > 0.3)) | ((g.iou() > 0.7) & (alike > 0.5))) & (alike <= 0.9)))
+    box = F.concat(F.lit("box|"), F.col("high").cast("string")).alias("key")
+    gives, takes = alike_keys(rows, 0.9)
+    seeds = seeds_by_keys(rows, gives.union(near.select(F.col("low").alias("id"), box)), takes.union(near.select(F.col("high").alias("id"), box)))
+    return seeds.join(rows.select("id", "own"), "id").select(F.col("own").alias("id"), (F.col("seed") == F.col("id")).alias("kept"))
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from graniteflow.operators.similarity import alike_sets, bag
 from graniteflow.plans.merging import merged_by_id_or_type
 from graniteflow.plans.tiers import alike_codes, kind_likeness, semantic_seeds, tag_likeness, type_merge_seeds
 from pyspark.sql import functions as F
+from graniteflow.plans.merging import alike_keys
 
 
 def seeds(n, gives, takes):
@@ -176,3 +177,14 @@ def test_merging_by_id_or_type_against_loops(spark):
     found = merged_by_id_or_type(spark.createDataFrame(rows, "grp string, id long, label string, type string, richness long, n long, pieces long, x1 int, y1 int, x2 int, y2 int"), 0.4)
     key = lambda r: (r[0], r[1])
     assert sorted(map(list, found.collect()), key=key) == sorted(now, key=key) and len(now) < len(rows) - 10
+
+
+def test_text_keys_pair_what_letters_pair(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.sample("abcdefghijklmn", rnd.choice([2, 9, 10, 11, 12, 13]))) for _ in range(150)] + ["", None, "AB", "ba", "a|b", "|ab"]
+    rows = [(i, rnd.randrange(2), t) for i, t in enumerate(texts)]
+    gives, takes = alike_keys(spark.createDataFrame(rows, "id int, grp int, text string"), 0.9)
+    found = {(a["id"], b["id"]) for a in gives.collect() for b in takes.collect() if a["key"] == b["key"] and a["id"] < b["id"]}
+    sets = [set((t or "").lower()) for t in texts]
+    assert found == {(i, j) for i, g, _ in rows for j, h, _ in rows if i < j and g == h and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.9}
+    assert len(takes.collect()) == len([s for s in sets if s])  # a set's rows aren't paired with each other
