@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graniteflow.operators.greedy import ALONE, cut
+from graniteflow.session import parts
 
 
 def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,8 +43,10 @@ def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _open(gives: DataFrame, takes: DataFrame) -> DataFrame:
     """Given keys that an open row takes, and whether the giver is a seed: nothing that it takes is open."""
-    waiting = takes.select("id").distinct().withColumn("waits", F.lit(True))
-    return gives.select("id", "key").join(takes.select("key").distinct(), "key", "left_semi").join(waiting, "id", "left").select("id", "key", F.col("waits").isNull().alias("seed"))
+    n = parts(gives.sparkSession)
+    waiting = takes.select("id").distinct().withColumn("waits", F.lit(True)).hint("merge")
+    asked = gives.select("id", "key").join(takes.select("key").repartition(n, "key").hint("merge"), "key", "left_semi")
+    return asked.repartition(n, "id").join(waiting, "id", "left").select("id", "key", F.col("waits").isNull().alias("seed"))
 
 
 def seeds_by_keys(nodes: DataFrame, gives: DataFrame, takes: DataFrame, alone: int = ALONE) -> DataFrame:
@@ -52,16 +55,19 @@ def seeds_by_keys(nodes: DataFrame, gives: DataFrame, takes: DataFrame, alone: i
     nodes: id. gives, takes: id and key (any hashable type, the same in both); null keys and ids are dropped, repeats are one.
     Rounds settle the nodes that no open node comes before, until ``alone`` rows of keys or fewer are open,
     which one task settles in order. It isn't the transitive closure: members draw in nobody.
+    Keys are dealt out over all tasks of a shuffle, as long texts that repeat are few bytes there and many in a task.
+    The right sides are, as semi-joins are planned below what is dealt out on their left.
     """
-    known = nodes.where("id IS NOT NULL").select("id").distinct()
-    gives = cut(gives.select("id", "key").where("key IS NOT NULL").distinct().join(known, "id", "left_semi"))
-    takes = cut(takes.select("id", "key").where("key IS NOT NULL").distinct().join(known, "id", "left_semi"))
+    n = parts(nodes.sparkSession)
+    known = nodes.where("id IS NOT NULL").select("id").repartition(n, "id").distinct()
+    gives = cut(gives.select("id", "key").where("key IS NOT NULL").distinct().join(known.hint("merge"), "id", "left_semi"))
+    takes = cut(takes.select("id", "key").where("key IS NOT NULL").distinct().join(known.hint("merge"), "id", "left_semi"))
     rows = lambda gives, takes: gives.unionByName(takes.select("id", "key", F.lit(None).cast("boolean").alias("given"))).coalesce(1)
     if gives.count() + takes.count() <= alone:
         found = cut(rows(gives.withColumn("given", F.lit(False)), takes).mapInPandas(_settled, "id long, seed long"))
         return known.join(found, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
     # keys that nobody open takes, or nobody gives, don't matter
-    open_takes = cut(takes.join(gives.select("key").distinct(), "key", "left_semi"))
+    open_takes = cut(takes.join(gives.select("key").repartition(n, "key").hint("merge"), "key", "left_semi"))
     open_gives = cut(_open(gives, open_takes))
     drawn = []
     while True:
@@ -81,6 +87,7 @@ def seeds_by_keys(nodes: DataFrame, gives: DataFrame, takes: DataFrame, alone: i
         open_gives = cut(_open(open_gives.join(gone, "id", "left_anti"), open_takes))
     if not drawn:
         return known.select("id", F.col("id").alias("seed"))
-    out = cut(reduce(DataFrame.union, drawn))
-    first = takes.join(out, "id", "left_semi").join(gives.join(out, "id", "left_anti").groupBy("key").agg(F.min("id").alias("seed")), "key").groupBy("id").agg(F.min("seed").alias("seed"))
+    out = cut(reduce(DataFrame.union, drawn)).repartition(n, "id")
+    taken = takes.join(out.hint("merge"), "id", "left_semi").repartition(n, "key")
+    first = taken.join(gives.join(out.hint("merge"), "id", "left_anti").groupBy("key").agg(F.min("id").alias("seed")), "key").groupBy("id").agg(F.min("seed").alias("seed"))
     return known.join(first, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))

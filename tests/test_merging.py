@@ -11,6 +11,7 @@ from graniteflow.operators.similarity import alike_sets, bag
 from graniteflow.plans.merging import merged_by_id_or_type
 from graniteflow.plans.tiers import alike_codes, kind_likeness, semantic_seeds, tag_likeness, type_merge_seeds
 from pyspark.sql import functions as F
+from graniteflow.operators import keyed
 from graniteflow.plans.merging import alike_keys
 
 
@@ -188,3 +189,9 @@ def test_text_keys_pair_what_letters_pair(spark):
     sets = [set((t or "").lower()) for t in texts]
     assert found == {(i, j) for i, g, _ in rows for j, h, _ in rows if i < j and g == h and sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) > 0.9}
     assert len(takes.collect()) == len([s for s in sets if s])  # a set's rows aren't paired with each other
+
+
+def test_keys_are_dealt_out(spark):
+    rows = spark.createDataFrame([(i, str(i % 3)) for i in range(9)], "id long, key string")
+    assert {r["id"]: r["seed"] for r in seeds_by_keys(rows, rows, rows, alone=1).collect()} == {i: i % 3 for i in range(9)}
+    assert keyed._open(rows, rows)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
