@@ -173,10 +173,17 @@ def respelt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked(spark, sf_dir).select("p_partkey", text.alias("text"), c.respelt(text).alias("respelt"))
 
 
+def kind_statistics(rows: DataFrame) -> DataFrame:
+    """Rows with a text by kind of correction, and the share of corrected ones (kind null): rows are counted by text, and every text is corrected once."""
+    counted = rows.groupBy("text").agg(F.count("*").alias("n"))
+    found = c.with_found(counted).select("n", F.explode_outer(F.col("_found")["kind"]).alias("kind"))
+    n = F.coalesce(F.sum("n"), F.lit(0))
+    return found.rollup("kind").agg(n.alias("n"), F.round(F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0)) / n, 6).alias("rate"))
+
+
 def correction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts by kind of correction, and the share of corrected ones (kind null)."""
-    rows = corrected_texts(spark, sf_dir).select("p_partkey", F.explode_outer(F.when(F.col("kinds") != "", F.split("kinds", ","))).alias("kind"))
-    return rows.rollup("kind").agg(F.count("*").alias("n"), F.round(F.count("kind") / F.count("*"), 6).alias("rate"))
+    return kind_statistics(damaged(spark, sf_dir))
 
 
 def nearest_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

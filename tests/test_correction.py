@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graniteflow.functions import correction as c
 from graniteflow.functions.keys import falling, packed, unpacked
-from graniteflow.plans.regions import correction_statistics
+from graniteflow.plans.regions import correction_statistics, corrected_texts, kind_statistics
 
 
 CASES = [
@@ -103,3 +103,16 @@ def test_each_distinct_text_is_corrected_once_over_all_tasks(spark):
 def test_statistics_are_of_texts_corrected_over_all_tasks(spark):
     plan = correction_statistics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_statistics_count_texts_first_and_join_nothing(spark):
+    rows = [("KLL3",)] * 3 + [(None,), ("",), ("KL3",), ("KL3",), ("300*400*50 9×9m KLL1 KLL1",)]
+    found = kind_statistics(spark.createDataFrame(rows, "text string"))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("character_error", 1, 1.0), ("component_code", 5, 1.0), ("dimension", 2, 1.0), (None, 4, 0.0), (None, 12, round(8 / 12, 6))]))
+    assert kind_statistics(spark.createDataFrame([], "text string")).count() == 0
+    sf_dir = "/root/testdata/sf0.001"
+    got = correction_statistics(spark, sf_dir)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    each = corrected_texts(spark, sf_dir).select(F.explode_outer(F.when(F.col("kinds") != "", F.split("kinds", ","))).alias("kind"))
+    plain = each.rollup("kind").agg(F.count("*").alias("n"), F.round(F.count("kind") / F.count("*"), 6).alias("rate"))
+    assert got.schema == plain.schema and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
