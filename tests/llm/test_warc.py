@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from graniteflow.llm.common import fresh_path
+from graniteflow.llm import warc
+from graniteflow.llm.common import fresh_path, written
 from graniteflow.llm.warc import cut, framed, page_table, read_archives, unframed, write_archives
 
 SCHEMA = "page_id long, url string, html string, digest string, block int"
@@ -98,3 +99,21 @@ def test_revisits_are_resolved(spark, tmp_path):
         (tmp_path / f"bad{n}" / "a.warc").write_text(whole + record(3, "revisit", sha, "", refer(to)), newline="")
         with pytest.raises(Exception, match="no response for the revisit of page 3"):
             page_table(spark, f"file://{tmp_path}/bad{n}").collect()
+
+
+def test_pages_are_written_unshuffled_where_copies_are_few_and_payloads_stay_in_their_tasks(spark, monkeypatch):
+    plans = []
+    write = warc.write_archives
+
+    def noted(df, name="table"):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    monkeypatch.setattr(warc, "written", noted)
+    rows = [(i, "u", "é" * i if i % 50 else "copy", "d", 1) for i in range(1, 400)] + [(2**53 + 1, "u", "z" * 40_000, "d", 1), (2**53 + 3, "u", "copy", "d", 1), (None, "u", "z", "d", 1)]
+    path = fresh_path(spark, "warc-plan")
+    write(spark.createDataFrame(rows, SCHEMA), path)
+    assert sorted(map(tuple, page_table(spark, path).collect()), key=str) == expected(rows)
+    assert [name for name, _ in plans] == ["warc-leaders", "warc-followers", "warc-pages", "warc-known"]
+    pages = dict(plans)["warc-pages"]
+    assert pages.count("MapInPandas") == 3 and "FlatMapGroups" not in pages and "payload#" not in pages
