@@ -181,12 +181,23 @@ def _context(df: DataFrame) -> DataFrame:
 STEPS: tuple[Callable[[DataFrame], DataFrame], ...] = (_codes, _sizes, _grades, _terms, _context)
 
 
-def with_found(texts: DataFrame, text: str = "text", steps: tuple = STEPS) -> DataFrame:
-    """texts, each of which should stand there once, with _text (corrected; a null one stays null) and _found: what was corrected, in order.
+def dealt(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Grouped texts dealt out over all tasks: by a hash, as a second dealing by the texts themselves would be left out."""
+    return spread(texts, F.xxhash64(text))
+
 
-    They are dealt out anew, as the table that they come from may be read in one task.
+def once(df: DataFrame, text: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that ``found`` adds to its distinct texts (_whole); null for a null text.
+
+    The distinct ones are dealt out anew, as the table that they come from may be read in one task.
     """
-    rows = spread(texts, F.xxhash64(text)).withColumns({"_text": F.col(text), "_found": F.array().cast(_FOUND)})  # by a hash, as a second dealing by the texts themselves would be left out
+    texts = df.select(F.col(text).alias("_whole")).where("_whole IS NOT NULL").distinct()
+    return df.join(found(dealt(texts, "_whole")), df[text] == F.col("_whole"), "left").drop("_whole")
+
+
+def with_found(texts: DataFrame, text: str = "text", steps: tuple = STEPS) -> DataFrame:
+    """texts, each of which should stand there once, with _text (corrected; a null one stays null) and _found: what was corrected, in order."""
+    rows = texts.withColumns({"_text": F.col(text), "_found": F.array().cast(_FOUND)})
     for step in steps:
         rows = step(rows)
     return rows.select(*texts.columns, "_text", F.coalesce("_found", F.array().cast(_FOUND)).alias("_found"))
@@ -198,8 +209,7 @@ def with_corrections(df: DataFrame, text: str = "text", confidence: str = "confi
     The confidence is the mean of the row's own and that of what was corrected, between 0.1 and 0.99; the row's own
     where nothing was. A null text stays null with no kinds; an empty one stays empty. Every distinct text is corrected once.
     """
-    texts = df.select(F.col(text).alias("_whole")).where("_whole IS NOT NULL").distinct()
-    named = df.join(with_found(texts, "_whole", steps), df[text] == F.col("_whole"), "left")
+    named = once(df, text, lambda texts: with_found(texts, "_whole", steps))
     found, own = F.coalesce("_found", F.array().cast(_FOUND)), F.col(confidence)
     mean = F.aggregate(found, F.lit(0.0), lambda s, x: s + x["confidence"]) / F.size(found)
     sure = F.when(F.size(found) == 0, own).otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.1), (own + mean) / 2)))

@@ -159,8 +159,9 @@ def context_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes and words with confusable characters, put right where their neighbours ask for it."""
     key = F.col("p_partkey")
     text = F.when(key % 5 == 0, F.concat(F.lit("1O"), key % 40, F.lit("S"))).when(key % 5 == 1, F.concat(F.lit("K8L"), key % 90)).when(key % 5 == 2, F.concat(F.lit("粱"), key % 7, F.lit("住"))).when(key % 5 == 3, F.concat(key % 300, F.lit("l"), key % 11)).otherwise("A|B")
-    rows = marked(spark, sf_dir).select("p_partkey", text.alias("text")).withColumn("_c", c.in_context(F.col("text")))
-    return rows.select("p_partkey", "text", "_c.text", "_c.n").toDF("p_partkey", "text", "corrected", "n")
+    rows = marked(spark, sf_dir).select("p_partkey", text.alias("text"))
+    found = c.once(rows, "text", lambda texts: texts.withColumn("_c", c.in_context(F.col("_whole"))))
+    return found.select("p_partkey", "text", "_c.text", "_c.n").toDF("p_partkey", "text", "corrected", "n")
 
 
 def respelt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,13 +171,14 @@ def respelt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 6 == 0, F.concat(F.lit("K2 "), key % 50)).when(key % 6 == 1, F.concat(F.lit("φ"), key % 20 + 6, F.lit("a"), key % 9 * 50)).when(key % 6 == 2, F.concat(key % 90, F.lit("x"), key % 70, F.lit("rnm")))
         .when(key % 6 == 3, F.get(F.array(*map(F.lit, "I O G c 17 MPA JO1 K乙3".split())), (key % 8).cast("int"))).when(key % 6 == 4, F.concat(F.lit("g"), key % 60)).otherwise(F.concat(F.lit("GL1 / W0 "), key % 30))
     )
-    return marked(spark, sf_dir).select("p_partkey", text.alias("text"), c.respelt(text).alias("respelt"))
+    rows = marked(spark, sf_dir).select("p_partkey", text.alias("text"))
+    return c.once(rows, "text", lambda texts: texts.withColumn("respelt", c.respelt(F.col("_whole")))).select("p_partkey", "text", "respelt")
 
 
 def kind_statistics(rows: DataFrame) -> DataFrame:
     """Rows with a text by kind of correction, and the share of corrected ones (kind null): rows are counted by text, and every text is corrected once."""
     counted = rows.groupBy("text").agg(F.count("*").alias("n"))
-    found = c.with_found(counted).select("n", F.explode_outer(F.col("_found")["kind"]).alias("kind"))
+    found = c.with_found(c.dealt(counted)).select("n", F.explode_outer(F.col("_found")["kind"]).alias("kind"))
     n = F.coalesce(F.sum("n"), F.lit(0))
     return found.rollup("kind").agg(n.alias("n"), F.round(F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0)) / n, 6).alias("rate"))
 

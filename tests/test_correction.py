@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graniteflow.functions import correction as c
 from graniteflow.functions.keys import falling, packed, unpacked
-from graniteflow.plans.regions import correction_statistics, corrected_texts, kind_statistics
+from graniteflow.plans.regions import context_corrections, correction_statistics, corrected_texts, kind_statistics, respelt_texts
 
 
 CASES = [
@@ -116,3 +116,12 @@ def test_statistics_count_texts_first_and_join_nothing(spark):
     each = corrected_texts(spark, sf_dir).select(F.explode_outer(F.when(F.col("kinds") != "", F.split("kinds", ","))).alias("kind"))
     plain = each.rollup("kind").agg(F.count("*").alias("n"), F.round(F.count("kind") / F.count("*"), 6).alias("rate"))
     assert got.schema == plain.schema and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, plain.collect())))
+
+
+def test_context_and_spellings_are_looked_at_once_for_each_text(spark):
+    for query in (context_corrections, respelt_texts):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "HashAggregate" in plan, query
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["1O0", None, "1O0", "", "粱"])], "id int, text string")
+    found = c.once(rows, "text", lambda texts: texts.withColumn("c", c.in_context(F.col("_whole"))["text"]))
+    assert found.columns == ["id", "text", "c"] and sorted((r["id"], r["c"]) for r in found.collect()) == [(0, "100"), (1, None), (2, "100"), (3, ""), (4, "梁")]
